@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import lzma
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks import fixtures as X
 from threadstats import schemas
@@ -73,30 +72,24 @@ def read_comments(spark, sf):
 
 
 def _packed(folder: str):
-    """Task-side helper: write each part of a dump as one xz file."""
+    """Task-side helper: write each batch of a dump as one xz file."""
     def pack(batches):
         import pyarrow.fs as pafs
 
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         for batch in batches:
-            for part, group in batch.groupby("part"):
-                text = io.StringIO()
-                group.drop(columns="part").to_csv(text, index=False)
-                with store.open_output_stream(f"{base}/part-{part}.csv.xz") as out:
-                    out.write(lzma.compress(text.getvalue().encode(), preset=0))
-                yield pd.DataFrame({"part": [part]})
+            name = uuid.uuid4().hex
+            with store.open_output_stream(f"{base}/{name}.csv.xz") as out:
+                out.write(lzma.compress(batch.to_csv(index=False).encode(), preset=0))
+            yield pd.DataFrame({"name": [name]})
     return pack
 
 
 @query
 def land_xz(spark, sf):
     folder = scratch_path(spark, "submissions-xz")
-    raw = X.raw_dumps(spark, sf)[0].withColumn("part", F.abs(F.hash("Post ID")) % 16)
-    parts = raw.repartition("part").groupBy("part").applyInPandas(
-        lambda group: next(_packed(folder)(iter([group]))), "part int"
-    )
-    parts.write.format("noop").mode("overwrite").save()
+    X.raw_dumps(spark, sf)[0].mapInPandas(_packed(folder), "name string").write.format("noop").mode("overwrite").save()
     landed = E.clean_submissions(I.land_xz(spark, folder, schemas.SUBMISSIONS_CSV))
     return landed.select("submission_id", "author", "score", "n_comments", F.date_format("ts", MINUTE).alias("published"), *digest("content"))
 
@@ -622,7 +615,7 @@ def author_mean_prob(spark, sf):
 
 @query
 def annotated_entries(spark, sf):
-    base = Z.base_entries(*_clean_dumps(spark, sf), cuts=X.CUTS)
+    base = written(Z.base_entries(*_clean_dumps(spark, sf), cuts=X.CUTS), "base-entries")
     annotated = Z.annotated_entries(base, *_model(spark, sf))
     return rounded(annotated.select(
         "parent_id", "entry_id", "period", "comment_id", "author", "score", "date", "submission_id",

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadstats.operators.terms import term_vectors
@@ -25,18 +25,22 @@ MAX_REFERENCES = 1_000
 MAX_CLUSTER_ROUNDS = 40
 
 
-def unit(vector: Column) -> Column:
+def _scaled(rows: np.ndarray) -> pd.Series:
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return pd.Series(list(np.divide(rows, norm, out=rows.copy(), where=norm > 0)))
+
+
+@F.pandas_udf("array<double>")
+def unit(vectors: pd.Series) -> pd.Series:
     """Scale to length one; the zero vector stays as it is."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(doubles, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    return _scaled(np.stack(vectors.to_numpy()).astype(float))
 
 
-def centred_unit(vector: Column) -> Column:
+@F.pandas_udf("array<double>")
+def centred_unit(vectors: pd.Series) -> pd.Series:
     """Subtract the vector's mean, then scale: cosine becomes Pearson correlation."""
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    mean = F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x) / F.size(doubles)
-    return unit(F.transform(doubles, lambda x: x - mean))
+    rows = np.stack(vectors.to_numpy()).astype(float)
+    return _scaled(rows - rows.mean(axis=1, keepdims=True))
 
 
 def distinct_rows(vectors: DataFrame, id_column: str, vector: str = "vector") -> DataFrame:
@@ -62,6 +66,11 @@ def _distances_to(references: np.ndarray):
     return distances
 
 
+@F.pandas_udf("double")
+def _row_dot(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series((np.stack(left.to_numpy()) * np.stack(right.to_numpy())).sum(axis=1))
+
+
 def reference_distances(vectors: DataFrame, references: DataFrame, id_column: str) -> DataFrame:
     """Cosine distance of each vector to each reference: (id, reference_id, distance).
 
@@ -101,7 +110,7 @@ def best_medoids(assigned: DataFrame, id_column: str) -> DataFrame:
     )
     sizes = assigned.groupBy("medoid_id").agg(F.count(F.lit(1)).alias("n_members"))
     clusters = sums.join(sizes, "medoid_id")
-    dot = F.aggregate(F.zip_with("vector", "total", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    dot = _row_dot("vector", "total")
     # One row per cluster, and there are at most MAX_REFERENCES of them.
     costed = assigned.join(F.broadcast(clusters), "medoid_id").withColumn(
         "total_distance", F.col("n_members") - dot
