@@ -200,16 +200,15 @@ def _numbered(prefix: str) -> list[str]:
 
 
 CTES["f1"] = f"""
-select author, period, cast(count(*) as double) as total_entries, cast(count(comment_id) as double) as cs,
-  cast(count(*) - count(comment_id) as double) as id,
+select author, period, count(*) as total_entries, count(comment_id) as cs, count(*) - count(comment_id) as id,
   {_five("rd_a + rd_b + rd_n", _numbered("rd"))}, {_five("r_a + r_b + r_n", _numbered("r"))},
-  cast(sum(rd_a + rd_b + rd_n) as double) as rd_sum, cast(sum(r_a + r_b + r_n) as double) as r_sum,
+  cast(sum(rd_a + rd_b + rd_n) as bigint) as rd_sum, cast(sum(r_a + r_b + r_n) as bigint) as r_sum,
   min(stance) as current_label
 from e join direct using (entry_id) join below using (entry_id) group by author, period"""
 _F2 = ["rd_a", "rd_b", "rd_n", "r_a", "r_b", "r_n"]
 CTES["f2"] = f"""
-select author, period, {", ".join(f"cast(coalesce(max(g.{c}), 0) as double) as {c}" for c in ("csa", "csb", "csn"))},
-  {", ".join(f"{_five(c, _numbered(c.replace('_', '')))}, cast(sum({c}) as double) as {c.replace('_', '')}_sum" for c in _F2)},
+select author, period, {", ".join(f"coalesce(max(g.{c}), 0) as {c}" for c in ("csa", "csb", "csn"))},
+  {", ".join(f"{_five(c, _numbered(c.replace('_', '')))}, cast(sum({c}) as bigint) as {c.replace('_', '')}_sum" for c in _F2)},
   min(stance) as current_label
 from e join direct using (entry_id) join below using (entry_id) left join given g using (author, period) group by author, period"""
 CTES["mix"] = """
@@ -509,7 +508,7 @@ select vec_id, label, list_transform(d, lambda x: x / norm) as v from (
   select vec_id, label, d, sqrt(list_sum(list_transform(d, lambda x: x * x))) as norm
   from (select vec_id, label, cast(embedding as double[]) as d from embeddings))"""
 CTES["refs"] = "select vec_id as reference_id, v as r from units where vec_id in (select min(vec_id) from units group by label)"
-CTES["dists"] = "select vec_id, label, v, reference_id, 1 - list_inner_product(v, r) as distance from units, refs"
+CTES["dists"] = "select vec_id, label, v, reference_id, greatest(1 - list_inner_product(v, r), 0.0) as distance from units, refs"
 FINAL["cosine_distance"] = "select vec_id, reference_id, round(distance, 6) as distance from {dists}"
 CTES["nearest"] = """
 select vec_id, v, reference_id as medoid_id from dists

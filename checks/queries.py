@@ -44,6 +44,10 @@ def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
 
 
+def fractions_rounded(df: DataFrame) -> DataFrame:
+    return rounded(df, *[name for name, kind in df.dtypes if kind == "double"])
+
+
 def digest(column: str) -> list[Column]:
     return [F.md5(F.col(column).cast("binary")).alias("content_md5"), F.length(column).alias("content_length")]
 
@@ -71,7 +75,7 @@ def read_comments(spark, sf):
     return read.select("comment_id", "author", "score", "submission_id", "parent_id", F.date_format("ts", MINUTE).alias("published"), *digest("content"))
 
 
-def _packed(folder: str):
+def _packed(folder: str, header: list[str]):
     """Task-side helper: write each batch of a dump as one xz file."""
     def pack(batches):
         import pyarrow.fs as pafs
@@ -81,7 +85,7 @@ def _packed(folder: str):
         for batch in batches:
             name = uuid.uuid4().hex
             with store.open_output_stream(f"{base}/{name}.csv.xz") as out:
-                out.write(lzma.compress(batch.to_csv(index=False).encode(), preset=0))
+                out.write(lzma.compress(batch.to_csv(index=False, header=header).encode(), preset=0))
             yield pd.DataFrame({"name": [name]})
     return pack
 
@@ -89,7 +93,9 @@ def _packed(folder: str):
 @query
 def land_xz(spark, sf):
     folder = scratch_path(spark, "submissions-xz")
-    X.raw_dumps(spark, sf)[0].mapInPandas(_packed(folder), "name string").write.format("noop").mode("overwrite").save()
+    raw = X.raw_dumps(spark, sf)[0]
+    plain = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
+    plain.mapInPandas(_packed(folder, raw.columns), "name string").write.format("noop").mode("overwrite").save()
     landed = E.clean_submissions(I.land_xz(spark, folder, schemas.SUBMISSIONS_CSV))
     return landed.select("submission_id", "author", "score", "n_comments", F.date_format("ts", MINUTE).alias("published"), *digest("content"))
 
@@ -380,12 +386,12 @@ def conversation_depth(spark, sf):
 
 @query
 def f1_descriptors(spark, sf):
-    return rounded(D.f1_descriptors(X.entries(spark, sf)), *D.F1_COLUMNS)
+    return fractions_rounded(D.f1_descriptors(X.entries(spark, sf)))
 
 
 @query
 def f2_descriptors(spark, sf):
-    return rounded(D.f2_descriptors(X.entries(spark, sf)), *D.F2_COLUMNS)
+    return fractions_rounded(D.f2_descriptors(X.entries(spark, sf)))
 
 
 @query
@@ -395,12 +401,12 @@ def thread_mix(spark, sf):
 
 @query
 def f3_descriptors(spark, sf):
-    return rounded(D.f3_descriptors(X.entries(spark, sf)), *D.F3_COLUMNS)
+    return fractions_rounded(D.f3_descriptors(X.entries(spark, sf)))
 
 
 @query
 def f3_descriptors_as_of(spark, sf):
-    return rounded(D.f3_descriptors(X.entries(spark, sf), as_of_period=True), *D.F3_COLUMNS)
+    return fractions_rounded(D.f3_descriptors(X.entries(spark, sf), as_of_period=True))
 
 
 @query
@@ -434,8 +440,8 @@ def _posts(spark, sf):
 
 
 def _f0_inputs(spark, sf):
-    posts = _posts(spark, sf)
-    labels = D.author_labels(X.entries(spark, sf))
+    posts = written(_posts(spark, sf), "posts")
+    labels = D.author_labels(posts)
     return posts, written(Z.f0_words(posts), "words"), labels
 
 
@@ -595,7 +601,7 @@ def post_stance(spark, sf):
 
 @query
 def author_stance(spark, sf):
-    return rounded(S.author_stance(_posts(spark, sf), *_model(spark, sf)), "leave_probability")
+    return rounded(S.author_stance(written(_posts(spark, sf), "posts"), *_model(spark, sf)), "leave_probability")
 
 
 def _post_means(spark, sf):

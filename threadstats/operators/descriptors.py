@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadstats.functions.columns import AGAINST, NEUTRAL, PRO, STANCE_SUFFIX, quartiles, spread
 from threadstats.operators import forest
@@ -187,10 +188,11 @@ def majority_collapse(
     """Equal descriptors become one row with their most frequent label.
 
     Ties go to the smallest label.  Stance has three codes, so one pass with
-    one counter per code decides; ``digits`` rounds before comparing.
+    one counter per code decides; ``digits`` rounds fractions before comparing.
     """
+    fractions = {f.name for f in labelled.schema if isinstance(f.dataType, T.DoubleType)}
     keys = [
-        (F.round(F.col(c).cast("double"), digits) if digits is not None else F.col(c)).alias(c)
+        (F.round(c, digits) if digits is not None and c in fractions else F.col(c)).alias(c)
         for c in features
     ]
     counted = labelled.groupBy(*keys).agg(*[

@@ -16,6 +16,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadstats.operators.terms import term_vectors
 from threadstats.storage import written
@@ -30,13 +31,13 @@ def _scaled(rows: np.ndarray) -> pd.Series:
     return pd.Series(list(np.divide(rows, norm, out=rows.copy(), where=norm > 0)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def unit(vectors: pd.Series) -> pd.Series:
     """Scale to length one; the zero vector stays as it is."""
     return _scaled(np.stack(vectors.to_numpy()).astype(float))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def centred_unit(vectors: pd.Series) -> pd.Series:
     """Subtract the vector's mean, then scale: cosine becomes Pearson correlation."""
     rows = np.stack(vectors.to_numpy()).astype(float)
@@ -59,14 +60,14 @@ def _references(rows: DataFrame, id_column: str) -> tuple[list, np.ndarray]:
 
 
 def _distances_to(references: np.ndarray):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def distances(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(1.0 - np.stack(vectors.to_numpy()) @ references.T))
+        return pd.Series(list(np.maximum(1.0 - np.stack(vectors.to_numpy()) @ references.T, 0.0)))
 
     return distances
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _row_dot(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series((np.stack(left.to_numpy()) * np.stack(right.to_numpy())).sum(axis=1))
 

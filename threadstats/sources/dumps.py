@@ -50,17 +50,20 @@ def land_xz(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     result as Parquet and clean it from there.
     """
     names = schema.fieldNames()
+    # Arrow batches travel under plain names; headers may hold dots and blanks.
+    plain = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                with lzma.open(io.BytesIO(content)) as plain:
-                    yield from pd.read_csv(
-                        plain, dtype=str, keep_default_na=False, chunksize=XZ_ROWS, usecols=names
-                    )
+                with lzma.open(io.BytesIO(content)) as unpacked:
+                    for chunk in pd.read_csv(
+                        unpacked, dtype=str, keep_default_na=False, chunksize=XZ_ROWS, usecols=names
+                    ):
+                        yield chunk[names].set_axis(plain.fieldNames(), axis=1)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(rows, schema)
+    return files.mapInPandas(rows, plain).toDF(*names)
 
 
 def from_json(records: DataFrame, column: str, schema: T.StructType) -> DataFrame:
