@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out evenly if the file has fewer splits than cores.
+
+    Text work is bound by the processor, and one row group is one task.  A
+    table with enough splits is read in place, without a shuffle.
+    """
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def forest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the id of the event they answer (negative: an orphan)."""
     events = table(spark, sf_dir, "events")
@@ -58,7 +69,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts: author = source, content = the whole text."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.col("source").alias("author"), F.col("text").alias("content")
     )
 
@@ -101,4 +112,4 @@ def raw_dumps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a class, to train the stance model on."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).join(labels, "doc_id")
+    return documents(spark, sf_dir).select("doc_id", F.col("text").alias("content")).join(labels, "doc_id")

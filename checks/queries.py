@@ -24,7 +24,7 @@ from threadstats.operators import topics as L
 from threadstats.operators import vectors as V
 from threadstats.plans import datasets as Z
 from threadstats.sources import dumps as I
-from threadstats.storage import materialize, scratch_path, shared_folder, written
+from threadstats.storage import is_complete, materialize, scratch_path, shared_folder, written
 from threadstats.streaming import ingest as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,11 +577,9 @@ def remove_sparse_terms(spark, sf):
 def _model(spark, sf):
     """Train once per application and data folder, then load."""
     path = f"{shared_folder(spark)}/model-{sf.strip('/').replace('/', '_')}"
-
-    def trained(i):
-        return lambda: S.train(X.labelled_docs(spark, sf))[i]
-
-    return materialize(spark, f"{path}/model", trained(0)), materialize(spark, f"{path}/prior", trained(1))
+    if not is_complete(spark, f"{path}/prior"):
+        S.save(*S.train(X.labelled_docs(spark, sf)), path)
+    return S.load(spark, path)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from threadstats.functions.columns import AGAINST, NEUTRAL, PRO, STANCE_SUFFIX, quartiles, spread
 from threadstats.operators import forest
-from threadstats.operators.terms import descriptor_counts
+from threadstats.operators.terms import descriptor_vocabulary, descriptor_words, through
 from threadstats.storage import written
 
 GROUP = ["author", "period"]
@@ -149,7 +149,7 @@ def f3_descriptors(entries: DataFrame, as_of_period: bool = False) -> DataFrame:
 
 
 def f0_descriptors(
-    entries: DataFrame, words: DataFrame, labels: DataFrame, n_words: int = F0_WORDS, stem: bool = True
+    entries: DataFrame, words: DataFrame, labels: DataFrame, n_words: int = F0_WORDS
 ) -> DataFrame:
     """TF-IDF of the leading words, within each period.
 
@@ -158,9 +158,12 @@ def f0_descriptors(
     """
     if n_words > F0_MAX_WORDS:
         raise ValueError(f"at most {F0_MAX_WORDS} descriptor words")
-    counts = descriptor_counts(entries, GROUP, stem=stem)
+    counts = written(descriptor_words(entries, GROUP), "word-counts")
     slots = F.broadcast(words.filter(F.col("rank") <= n_words).select("rank", "term"))
-    filled = counts.join(slots, "term", "left").select(*GROUP, F.coalesce("rank", F.lit(0)).alias("slot"), "n")
+    vocabulary = descriptor_vocabulary(counts).join(slots, "term", "left").select(
+        "word", F.coalesce("rank", F.lit(0)).alias("slot")
+    )
+    filled = through(counts, vocabulary).select(*GROUP, "slot", "n")
     empty = entries.select(*GROUP).distinct().select(*GROUP, F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("n"))
     ranks = list(range(n_words + 1))
     wide = written(

@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadstats.functions import columns as C
-from threadstats.operators.terms import model_counts
-from threadstats.storage import broadcast_up_to, written
+from threadstats.operators.terms import model_counts, model_vocabulary, model_words, through
+from threadstats.storage import written
 
 REMAIN, LEAVE = 0, 1
 
-# A model row is a short string and two doubles; this many stay near 200 MB.
-MODEL_BROADCAST_ROWS = 2_000_000
-
 
 def train(
     docs: DataFrame,
@@ -83,11 +80,10 @@ def score(
     ``min_total=1`` scores with the fixed vocabulary, independent of the batch.
     """
     keys, batch = list(keys), list(batch)
-    known = model_counts(docs, keys, content, stem).join(
-        broadcast_up_to(model, MODEL_BROADCAST_ROWS), "term"
-    )
+    counts = written(model_words(docs, keys, content), "word-counts")
+    # Words go straight to their likelihoods: one join, and no sum per stem.
+    known = through(counts, model_vocabulary(counts, stem).join(model, "term"))
     if min_total > 1:
-        known = written(known, "known-terms")
         # At most one row per batch and model term.
         rare = known.groupBy(*batch, "term").agg(F.sum("n").alias("total")).filter(
             F.col("total") < min_total

@@ -48,18 +48,41 @@ def stem_map(words: DataFrame, column: str = "term") -> DataFrame:
     return with_stem(vocabulary, "word", "stem")
 
 
+def through(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Join word counts ``(keys..., term, n)`` with a table keyed by ``word``.
+
+    The vocabulary is written and broadcast if it is small enough.  The word
+    itself is dropped: the vocabulary says what stands for it.
+    """
+    table = broadcast_up_to(written(vocabulary, "vocabulary"), STEM_MAP_BROADCAST_ROWS)
+    words = counts.withColumnRenamed("term", "word")
+    return words.join(table, "word").drop("word")
+
+
 def stemmed(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Replace the terms of ``(keys..., term, n)`` by their stems.
 
-    Counts come first, so that each distinct word is stemmed once; the counts
-    are written because both the vocabulary and the join read them.
+    Counts come first, so that each distinct word is stemmed once; they should
+    be written, since both the vocabulary and the join read them.
     """
-    counts = written(counts, "word-counts")
-    stems = broadcast_up_to(
-        written(stem_map(counts), "stem-map"), STEM_MAP_BROADCAST_ROWS
+    stems = stem_map(counts).select("word", F.col("stem").alias("term"))
+    return _summed(through(counts, stems), keys)
+
+
+def descriptor_words(
+    docs: DataFrame, keys: Sequence[str], content: str = "content", topic_words: bool = True
+) -> DataFrame:
+    """Counts of the unstemmed words of cleaning chain A, stop words removed."""
+    tokens = docs.select(*keys, F.explode(X.descriptor_tokens(F.col(content))).alias("term"))
+    return _counted(
+        remove_stop_words(tokens.filter(F.col("term") != ""), X.descriptor_stop_words(topic_words)), keys
     )
-    joined = counts.join(stems, counts["term"] == stems["word"])
-    return _summed(joined.select(*keys, F.col("stem").alias("term"), "n"), keys)
+
+
+def descriptor_vocabulary(counts: DataFrame) -> DataFrame:
+    """Words with the term each stands for; words without a valid term are left out."""
+    stems = stem_map(counts).select("word", F.col("stem").alias("term"))
+    return remove_stop_words(stems, ENGLISH_STOP_WORDS).filter(F.length("term") >= X.MIN_LENGTH)
 
 
 def descriptor_counts(
@@ -70,25 +93,37 @@ def descriptor_counts(
     stem: bool = True,
 ) -> DataFrame:
     """Term counts of the descriptor vocabulary (cleaning chain A)."""
-    tokens = docs.select(*keys, F.explode(X.descriptor_tokens(F.col(content))).alias("term"))
-    tokens = remove_stop_words(
-        tokens.filter(F.col("term") != ""), X.descriptor_stop_words(topic_words)
-    )
-    counts = _counted(tokens, keys)
+    counts = descriptor_words(docs, keys, content, topic_words)
+    if not stem:
+        return counts.filter(F.length("term") >= X.MIN_LENGTH)
+    counts = written(counts, "word-counts")
+    return _summed(through(counts, descriptor_vocabulary(counts)), keys)
+
+
+def model_words(docs: DataFrame, keys: Sequence[str], content: str = "content") -> DataFrame:
+    """Counts of the unstemmed words of cleaning chain B, stop words removed."""
+    tokens = docs.select(*keys, F.explode(X.model_tokens(F.col(content))).alias("term"))
+    return _counted(tokens.filter(X.is_model_token(F.col("term"))), keys)
+
+
+def model_vocabulary(counts: DataFrame, stem: bool = True) -> DataFrame:
+    """Words with the model term each stands for; too short terms are left out."""
     if stem:
-        counts = remove_stop_words(stemmed(counts, keys), ENGLISH_STOP_WORDS)
-    return counts.filter(F.length("term") >= X.MIN_LENGTH)
+        terms = stem_map(counts).select("word", F.col("stem").alias("term"))
+    else:
+        terms = counts.select(F.col("term").alias("word"), "term").distinct()
+    return terms.filter(F.length("term") >= X.MIN_LENGTH)
 
 
 def model_counts(
     docs: DataFrame, keys: Sequence[str], content: str = "content", stem: bool = True
 ) -> DataFrame:
     """Term counts of the stance model's vocabulary (cleaning chain B)."""
-    tokens = docs.select(*keys, F.explode(X.model_tokens(F.col(content))).alias("term"))
-    counts = _counted(tokens.filter(X.is_model_token(F.col("term"))), keys)
-    if stem:
-        counts = stemmed(counts, keys)
-    return counts.filter(F.length("term") >= X.MIN_LENGTH)
+    counts = model_words(docs, keys, content)
+    if not stem:
+        return counts.filter(F.length("term") >= X.MIN_LENGTH)
+    counts = written(counts, "word-counts")
+    return _summed(through(counts, model_vocabulary(counts)), keys)
 
 
 def matrix_counts(
@@ -100,7 +135,7 @@ def matrix_counts(
         remove_stop_words(tokens.filter(F.col("term") != ""), ENGLISH_STOP_WORDS), keys
     )
     if stem:
-        counts = stemmed(counts, keys)
+        counts = stemmed(written(counts, "word-counts"), keys)
     return counts.filter(
         F.length("term").between(X.MATRIX_MIN_LENGTH, X.MATRIX_MAX_LENGTH)
     )

@@ -51,22 +51,22 @@ def annotated_entries(
     return narrow
 
 
-def f0_words(entries: DataFrame, n: int = D.F0_WORDS, posts: int = VOCABULARY_POSTS, stem: bool = True) -> DataFrame:
+def f0_words(entries: DataFrame, n: int = D.F0_WORDS, posts: int = VOCABULARY_POSTS) -> DataFrame:
     """The descriptor words: leading words of the earliest posts."""
     ordered = entries.withColumn("kind", F.col("comment_id").isNull().cast("int"))
-    return leading_words(earliest_posts(ordered, posts, ORDER), n, stem=stem)
+    return leading_words(earliest_posts(ordered, posts, ORDER), n)
 
 
-def f0_labelled(entries: DataFrame, words: DataFrame, stance: DataFrame, n_words: int = D.F0_WORDS, stem: bool = True) -> DataFrame:
+def f0_labelled(entries: DataFrame, words: DataFrame, stance: DataFrame, n_words: int = D.F0_WORDS) -> DataFrame:
     labels = stance.select("author", "period", F.col("stance").alias("current_label"))
-    return D.with_next_label(D.f0_descriptors(entries, words, labels, n_words, stem))
+    return D.with_next_label(D.f0_descriptors(entries, words, labels, n_words))
 
 
 def f0_training(
     entries: DataFrame, words: DataFrame, stance: DataFrame, n_words: int = D.F0_WORDS,
-    digits: int | None = None, stem: bool = True,
+    digits: int | None = None,
 ) -> DataFrame:
-    labelled = f0_labelled(entries, written(words, "words"), stance, n_words, stem)
+    labelled = f0_labelled(entries, written(words, "words"), stance, n_words)
     columns = [f"w{i}" for i in range(1, n_words + 1)] + ["current_label"]
     return D.majority_collapse(labelled, columns, digits=digits)
 
