@@ -121,7 +121,7 @@ def test_stream_equals_batch(spark, tmp_path):
     target = str(tmp_path / "latest")
     one_file = R.read_stream(spark, str(folder), df.schema, maxFilesPerTrigger=1)
     R.keep_latest(one_file, ["id"], ["created_utc"], target, str(tmp_path / "ck")).awaitTermination()
-    latest = R.latest_version(spark, target)
+    latest = R.latest_records(spark, target, ["id"], ["created_utc"])
     batch = E.latest_by_id(df, ["id"], ["created_utc"])
     key = lambda d: sorted(map(tuple, d.select("id", "v").collect()))
     assert key(latest) == key(batch) == [(f"r{i}", i + 6) for i in range(6)]

@@ -90,8 +90,12 @@ def f1_descriptors(entries: DataFrame, replies: DataFrame | None = None) -> Data
 
 
 def f2_descriptors(entries: DataFrame, replies: DataFrame | None = None) -> DataFrame:
-    """Replies given and received, split by the stance of the other party."""
-    replies = forest.replies_with_parent(entries) if replies is None else replies
+    """Replies given and received, split by the stance of the other party.
+
+    Two aggregates read the replies, so their join is done and written once.
+    """
+    if replies is None:
+        replies = written(forest.replies_with_parent(entries), "replies")
     counts = forest.reply_counts(entries, replies)
     source = dict(zip(F2_GROUPS, [*forest.DIRECT.values(), *forest.ALL.values()], strict=True))
     received = counts.groupBy(*GROUP).agg(

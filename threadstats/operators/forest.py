@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadstats.functions.columns import STANCE_SUFFIX
-from threadstats.storage import written
+from threadstats.storage import Rounds, written
 
 # 2^24 steps from an entry to its root; more means that parents form a cycle.
 MAX_ROUNDS = 24
@@ -125,20 +125,20 @@ def subtree_totals(entries: DataFrame, measures: Mapping[str, Column]) -> DataFr
     away; adding the totals of those exactly 2^k away doubles the reach.
     """
     names = list(measures)
-    state = written(
+    rounds = Rounds(entries.sparkSession, "subtree")
+    state = rounds.write(
         entries.select(
             "entry_id",
             F.col("parent_id").alias("ancestor_id"),
             F.coalesce("submission_id", "entry_id").alias("root_id"),
             *[c.cast("bigint").alias(name) for name, c in measures.items()],
-        ),
-        "subtree-0",
+        )
     )
-    for round_number in range(1, MAX_ROUNDS + 2):
+    for _ in range(MAX_ROUNDS + 1):
         if state.filter(F.col("ancestor_id").isNotNull()).isEmpty():
             # Rows without a root belong to parents that are no entries.
             return state.filter(F.col("root_id").isNotNull()).select("entry_id", *names)
-        state = written(_doubled(state, names), f"subtree-{round_number}")
+        state = rounds.write(_doubled(state, names))
     raise CyclicForest
 
 
@@ -237,12 +237,15 @@ def thread_depth(entries: DataFrame) -> DataFrame:
 
 
 def _ancestor_tables(entries: DataFrame) -> Iterator[tuple[int, DataFrame]]:
-    """Tables (entry_id, ancestor_id) for distances 1, 2, 4, ..."""
-    hop = written(
+    """Tables (entry_id, ancestor_id) for distances 1, 2, 4, ...
+
+    Each must be used up before the next is asked for.
+    """
+    rounds = Rounds(entries.sparkSession, "ancestors")
+    hop = rounds.write(
         entries.filter(F.col("parent_id").isNotNull()).select(
             "entry_id", F.col("parent_id").alias("ancestor_id")
-        ),
-        "ancestor-1",
+        )
     )
     for k in range(MAX_ROUNDS + 1):
         if hop.isEmpty():
@@ -251,9 +254,8 @@ def _ancestor_tables(entries: DataFrame) -> Iterator[tuple[int, DataFrame]]:
         further = hop.select(
             F.col("entry_id").alias("ancestor_id"), F.col("ancestor_id").alias("far_id")
         )
-        hop = written(
-            hop.join(further, "ancestor_id").select("entry_id", F.col("far_id").alias("ancestor_id")),
-            f"ancestor-{2 ** (k + 1)}",
+        hop = rounds.write(
+            hop.join(further, "ancestor_id").select("entry_id", F.col("far_id").alias("ancestor_id"))
         )
     raise CyclicForest
 
@@ -268,11 +270,12 @@ def descendants(entries: DataFrame, of: DataFrame) -> DataFrame:
     found = of.select(
         F.col("entry_id").alias("of_id"), F.col("entry_id").alias("at_id"), F.lit(0).alias("depth")
     )
+    rounds = Rounds(entries.sparkSession, "descendants")
     for distance, hop in _ancestor_tables(entries):
         new = found.join(hop, F.col("at_id") == F.col("ancestor_id")).select(
             "of_id", F.col("entry_id").alias("at_id"), (F.col("depth") + distance).alias("depth")
         )
-        found = written(found.unionByName(new), f"descendants-{distance}")
+        found = rounds.write(found.unionByName(new))
     return found.filter(F.col("depth") > 0).withColumnRenamed("at_id", "entry_id")
 
 
@@ -281,12 +284,13 @@ def path_to_root(entries: DataFrame, of: DataFrame) -> DataFrame:
     found = of.select(
         F.col("entry_id").alias("of_id"), F.col("entry_id").alias("at_id"), F.lit(0).alias("distance")
     )
+    rounds = Rounds(entries.sparkSession, "paths")
     for distance, hop in _ancestor_tables(entries):
         new = found.join(hop, F.col("at_id") == F.col("entry_id")).select(
             "of_id", F.col("ancestor_id").alias("at_id"),
             (F.col("distance") + distance).alias("distance"),
         )
-        found = written(found.unionByName(new), f"path-{distance}")
+        found = rounds.write(found.unionByName(new))
     return found.withColumnRenamed("at_id", "entry_id")
 
 

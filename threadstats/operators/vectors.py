@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadstats.operators.terms import term_vectors
-from threadstats.storage import written
+from threadstats.storage import Rounds, written
 
 # Reference vectors travel with every task, so their number is bounded.
 MAX_REFERENCES = 1_000
@@ -179,17 +179,16 @@ def density_clusters(
     cells = written(dense_cells(points, coordinates, width, min_points).withColumn("cell", key), "cells")
     edges = written(_neighbours(cells, names), "cell-edges")
     labels = cells.select("cell", F.col("cell").alias("cluster"))
+    lows, rounds = Rounds(points.sparkSession, "cell-lowest"), Rounds(points.sparkSession, "cell-labels")
     for _ in range(MAX_CLUSTER_ROUNDS):
         offered = edges.join(labels, "cell").select(F.col("other").alias("cell"), "cluster")
         lowest = labels.unionByName(offered).groupBy("cell").agg(F.min("cluster").alias("cluster"))
         # Follow the label of the labelling cell too, which doubles the reach.
-        lowest = written(lowest, "cell-labels-lowest")
+        lowest = lows.write(lowest)
         via = lowest.select(F.col("cell").alias("cluster"), F.col("cluster").alias("lower"))
-        moved = written(
-            lowest.join(via, "cluster").select("cell", F.col("lower").alias("cluster")), "cell-labels"
-        )
+        moved = lowest.join(via, "cluster").select("cell", F.col("lower").alias("cluster"))
         changed = not moved.exceptAll(labels).isEmpty()
-        labels = moved
+        labels = rounds.write(moved)
         if not changed:
             break
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadstats.functions.columns import strip_quotes
 from threadstats.operators import descriptors as D
 from threadstats.operators.entries import attach_stance, union_entries
-from threadstats.operators.forest import replies_with_parent, repair_orphans
+from threadstats.operators.forest import repair_orphans
 from threadstats.operators.periods import DEFAULT_PERIODS, assign_period
 from threadstats.operators.stance import author_stance
 from threadstats.operators.terms import earliest_posts, leading_words
@@ -45,7 +45,7 @@ def annotated_entries(
     wanted, are joined back once at the end.
     """
     stance = author_stance(entries, model, prior, **options)
-    narrow = repair_orphans(attach_stance(entries.drop("content"), stance))
+    narrow = attach_stance(repair_orphans(entries.drop("content")), stance)
     if keep_content:
         return narrow.join(entries.select("entry_id", "content"), "entry_id")
     return narrow
@@ -77,7 +77,7 @@ def f1_training(entries: DataFrame, digits: int | None = None) -> DataFrame:
 
 
 def f2_training(entries: DataFrame, digits: int | None = None) -> DataFrame:
-    labelled = D.with_next_label(D.f2_descriptors(entries, replies_with_parent(entries)))
+    labelled = D.with_next_label(D.f2_descriptors(entries))
     return D.majority_collapse(labelled, [*D.F2_COLUMNS, "current_label"], digits=digits)
 
 

@@ -44,6 +44,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of an iteration: a finished round replaces the one before it.
+
+    The new table is complete before the old one is deleted, so the shared
+    folder holds two rounds at most and no lineage reaches back.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self._spark, self._base = spark, scratch_path(spark, name)
+        self._number = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self._base}/{self._number}"
+        df.write.parquet(path)
+        if self._number:
+            self._delete(f"{self._base}/{self._number - 1}")
+        self._number += 1
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """True if a finished write left its success marker in ``path``."""
     try:

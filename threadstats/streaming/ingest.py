@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,28 +34,23 @@ def append_to(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def keep_latest(
     records: DataFrame, ids: Sequence[str], order: Sequence[str], target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Keep one record per id, the last in order, below ``target``.
+    """Append each batch's last record per id below ``target``.
 
-    Each batch writes a new version of the table; ``latest_version`` reads the
-    newest.  A batch that is repeated after a failure rewrites its version.
+    Earlier batches are not rewritten; ``latest_records`` merges on reading.
+    A batch that is repeated after a failure overwrites its own folder.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        merged = batch
-        if number > 0:
-            merged = batch.sparkSession.read.parquet(f"{target}/version={number - 1}").unionByName(batch)
-        latest_by_id(merged, ids, order).write.mode("overwrite").parquet(f"{target}/version={number}")
+    def append(batch: DataFrame, number: int) -> None:
+        latest_by_id(batch, ids, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
-        records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The newest version that ``keep_latest`` wrote."""
-    table = spark.read.parquet(target)
-    newest = table.agg(F.max("version")).scalar()
-    return table.filter(F.col("version") == newest).drop("version")
+def latest_records(spark: SparkSession, target: str, ids: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One record per id over all batches that ``keep_latest`` appended."""
+    return latest_by_id(spark.read.parquet(target), ids, [*order, "batch"]).drop("batch")
 
 
 def run_now(spark: SparkSession, stream: DataFrame, start: Callable[[DataFrame, str, str], StreamingQuery], name: str) -> DataFrame:
