@@ -27,7 +27,9 @@ def topic_terms(
     if vocabulary > MAX_TOPIC_VOCABULARY:
         raise ValueError(f"at most {MAX_TOPIC_VOCABULARY} terms")
     counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary).fit(docs)
-    model = LDA(k=k, maxIter=rounds, seed=seed, featuresCol="features").fit(counter.transform(docs))
+    # Every round of the fit reads all features, so they are written once.
+    features = written(counter.transform(docs).select("features"), "topic-features")
+    model = LDA(k=k, maxIter=rounds, seed=seed, featuresCol="features").fit(features)
     topics = model.describeTopics(len(counter.vocabulary))
     spark = docs.sparkSession
     words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "termIndex int, term string")

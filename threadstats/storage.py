@@ -94,13 +94,11 @@ def materialize(
     return spark.read.parquet(path)
 
 
-def broadcast_up_to(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after a bounded count has shown that it fits.
+def broadcast_up_to(table: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast only after a count has shown that the table fits.
 
     Beyond ``max_rows`` the table is returned without a hint, so that the
     planner shuffles both sides.  Meant for narrow tables that are already
-    written: the count stops at ``max_rows + 1``.
+    written: counting them reads no column.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(table) if table.count() <= max_rows else table
