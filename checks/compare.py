@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from checks import oracle
 from checks.queries import QUERIES
+from threadstats.storage import use_folder_if_unset
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -73,6 +74,7 @@ def main(sf_dir: str, keys: list[str]) -> int:
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_folder_if_unset(spark, "/tmp/threadstats-shared")
     connection, statements, failed = connect(sf_dir), oracle.statements(), 0
     for key in keys or QUERIES:
         started = time.time()

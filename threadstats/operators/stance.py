@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadstats.functions import columns as C
 from threadstats.operators.terms import model_counts, model_vocabulary, model_words, through
-from threadstats.storage import written
+from threadstats.storage import mark_complete, written
 
 REMAIN, LEAVE = 0, 1
 
@@ -56,6 +56,7 @@ def train(
 def save(model: DataFrame, prior: DataFrame, path: str) -> None:
     model.write.mode("overwrite").parquet(f"{path}/model")
     prior.coalesce(1).write.mode("overwrite").parquet(f"{path}/prior")
+    mark_complete(model.sparkSession, f"{path}/prior")
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

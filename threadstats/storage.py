@@ -3,38 +3,94 @@
 Iterative operators cut their lineage by writing each round as Parquet below
 the shared folder the cluster names in ``spark.checkpoint.dir``.  A written
 table survives the loss of executors and gives the planner true sizes.
+
+Tables belong to a scope and go with it, also on failure; what a scope returns
+is handed to the scope around it, and the last ones go when the driver ends.
+Access to the session's context and file system is kept in this module.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+
+class _Paths:
+    """Tables to delete when a scope ends."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_OPEN: list[_Paths] = [_Paths()]  # the first one lasts as long as the driver
+
+
+def use_folder_if_unset(spark: SparkSession, folder: str) -> None:
+    """For tests, benchmarks and entry points on one machine: a shared folder if the session has none."""
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables, one per application."""
+    """Folder for intermediate tables, one per application, that all executors reach."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
-            raise ValueError(
-                "set spark.checkpoint.dir to a folder that all executors share"
-            )
-        root = _LOCAL_FOLDERS.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="threadstats-")
-        )
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/threadstats/{context.applicationId}"
 
 
+def _own(spark: SparkSession, path: str, owner: _Paths) -> str:
+    if owner is _OPEN[0] and not owner.paths:
+        atexit.register(_leave, spark, owner)
+    owner.paths.append(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is deleted with the scope that is open."""
+    return _own(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", _OPEN[-1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _leave(spark: SparkSession, owner: _Paths) -> None:
+    with suppress(Exception):  # a session that has ended can delete nothing
+        while owner.paths:
+            delete(spark, owner.paths.pop())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the tables written inside, at the end or on failure.
+
+    Yields ``keep(df, name)``, which writes a table that the scope around owns.
+    """
+    outer, own = _OPEN[-1], _Paths()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = _own(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", outer)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    _OPEN.append(own)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        _leave(spark, own)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,26 +115,29 @@ class Rounds:
         path = f"{self._base}/{self._number}"
         df.write.parquet(path)
         if self._number:
-            self._delete(f"{self._base}/{self._number - 1}")
+            delete(self._spark, f"{self._base}/{self._number - 1}")
         self._number += 1
         return self._spark.read.schema(df.schema).parquet(path)
 
-    def _delete(self, path: str) -> None:
-        target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+
+MARKER = "_COMPLETE"
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
-    """True if a finished write left its success marker in ``path``."""
+    """True if ``mark_complete`` was called for the table at ``path``."""
     try:
-        spark.read.text(f"{path.rstrip('/')}/_SUCCESS")
-        return True
+        return not spark.read.text(f"{path.rstrip('/')}/{MARKER}").isEmpty()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return False
         raise
 
 
+def mark_complete(spark: SparkSession, path: str) -> None:
+    marker = spark.range(1).select(F.lit("complete").alias("value")).coalesce(1)
+    marker.write.mode("overwrite").text(f"{path.rstrip('/')}/{MARKER}")
+
+
 def materialize(
     spark: SparkSession,
     path: str,
@@ -87,10 +146,12 @@ def materialize(
 ) -> DataFrame:
     """Read the table at ``path``; if it is not there yet, build and write it.
 
-    Leftovers of an unfinished write are overwritten.
+    Leftovers of an unfinished write are overwritten.  The marker is a small
+    table written after the data, so it does not depend on success markers.
     """
     if not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path, partitionBy=partition_by)
+        mark_complete(spark, path)
     return spark.read.parquet(path)
 
 
