@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,3 +181,21 @@ def quality(docs: DataFrame, model: Model, modulus: int = 5, held: int = 0, thre
     scored = texts(docs).mapInArrow(each, "doc_id bigint, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows whose own text is not rejected, with all columns of ``docs``; nothing is shuffled or joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        whole = [(t or "").encode() for t in text]
+        out: list[bool] = []
+        while len(out) < len(whole):  # about a megabyte at a time
+            stop, size = len(out), 0
+            while stop < len(whole) and (stop == len(out) or size + len(whole[stop]) <= 1 << 20):
+                size, stop = size + len(whole[stop]), stop + 1
+            out += (forward(shared.value, *passages(whole[len(out):stop]))["score"] >= threshold).tolist()
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(good(F.col("text")))

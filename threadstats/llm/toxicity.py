@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -237,3 +238,20 @@ def toxicity(docs: DataFrame, model: Model, modulus: int = 5, held: int = 0, thr
     return evidence(docs, model).select(
         "doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), score.alias("score"),
         (score >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows whose own text is not rejected, with all columns of ``docs``; nothing is shuffled or joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    weights, constant = np.array(model.line[:-1]), model.line[-1]
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        for text in parts:
+            whole = [(t or "").encode() for t in text]
+            total = np.concatenate([scorer(whole[k:k + 256]) for k in range(0, len(whole), 256)] or [np.zeros((0, 3))])
+            score = 1 / (1 + np.exp(-np.clip(total @ weights + constant, -700, 700)))
+            yield pd.Series(score < threshold)
+
+    return docs.filter(clean(F.col("text")))
