@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
     with scope(docs.sparkSession):
         # About 2 x per_class documents, BAG passages each: the size is a parameter.
         labelled = texts(docs).join(F.broadcast(sample), "doc_id")
-        found = labelled.mapInArrow(bags, "doc_id bigint, label int, rows binary").toPandas().sort_values(
+        found = labelled.mapInArrow(bags, "doc_id bigint, label int, rows binary").toArrow().to_pandas().sort_values(
             "doc_id", kind="stable")
     y = found["label"].to_numpy().astype(np.float64)
     if found["label"].nunique() < 2:

@@ -201,12 +201,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
         least = 1
         while counted.filter(F.col("n0") + F.col("n1") >= least).count() > max_grams:
             least += 1
-        rows = counted.filter(F.col("n0") + F.col("n1") >= least).toPandas().sort_values("gram")
-        if not len(rows):
+        rows = counted.filter(F.col("n0") + F.col("n1") >= least).toArrow().sort_by("gram")
+        if not rows.num_rows:
             nothing.line = (0.0, 0.0, 0.0, float(np.log(weight[1] * present[1] / (weight[0] * present[0]))))
             return nothing
-        model = kneser_ney(rows["gram"].to_numpy().astype(np.uint64), rows[["n0", "n1"]].to_numpy().T)
-        unseen = evidence(labelled.filter("fold = 0"), model).join(F.broadcast(sample), "doc_id").toPandas()
+        model = kneser_ney(rows.column("gram").to_numpy().astype(np.uint64),
+                           np.stack([rows.column(c).to_numpy() for c in ("n0", "n1")]))
+        unseen = evidence(labelled.filter("fold = 0"), model).join(F.broadcast(sample), "doc_id").toArrow().to_pandas()
         if unseen["label"].nunique() < 2:
             model.line = (0.0, 4.0, 4.0, -4.0)  # too few texts to fit the curve
         else:
