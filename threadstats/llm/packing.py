@@ -5,8 +5,8 @@ remainders are packed by their lengths alone: a bitset subset-sum picks the
 multiset of remaining lengths that fills the next sequence, beginning with the
 longest length left, and backtracking gives how often it takes each length; the
 multiset is then used as often as the remaining counts allow.  Texts and slots
-of one length are matched by rank.  When no multiset fills a sequence to the
-last id, what is left over is laid end to end and cut at the sequences' ends,
+of one length are matched by rank.  Lengths that no multiset fills up to the
+last id are left over: they are laid end to end and cut at the sequences' ends,
 and the last stretch at powers of two, so that nothing is padded.
 
 Only the number of remainders of each length (fewer than ``size`` rows) reaches
@@ -22,6 +22,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,56 +49,62 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def fill(counts: dict[int, int], size: int) -> dict[int, int] | None:
-    """A multiset of the lengths (length -> times) that adds up to ``size``, with the longest length in it if possible.
+def fill(lengths: list[int], counts: dict[int, int], size: int) -> dict[int, int] | None:
+    """A multiset of the lengths (length -> times) that adds up to ``size``, with the longest length in it.
 
-    Bit s of ``reached[k]`` says that the first k lengths can add up to s.
+    ``lengths`` ascend.  Bit s of ``reached[k]`` says that the longest length and
+    the longest k of those that still fit can add up to s.
     """
-    lengths = sorted(counts, reverse=True)
-    full = (1 << (size + 1)) - 1
-    for first in ([lengths[0]], []):
-        done = sum(first)
-        if done == size:
-            return {done: 1}
-        reached = [1 << done]
-        for length in lengths:
-            bits = reached[-1]
-            for _ in range(min(counts[length] - (length in first), (size - done) // length)):
-                more = bits | (bits << length) & full
-                if more == bits:
-                    break
-                bits = more
-                if bits >> size & 1:
-                    break
-            reached.append(bits)
-            if bits >> size & 1:
+    first, full = lengths[-1], (1 << (size + 1)) - 1
+    if first == size:
+        return {first: 1}
+    fitting = lengths[bisect_right(lengths, size - first) - 1::-1] if lengths[0] <= size - first else []
+    reached = [1 << first]
+    for length in fitting:
+        bits = reached[-1]
+        for _ in range(min(counts[length] - (length == first), (size - first) // length)):
+            more = bits | (bits << length) & full
+            if more == bits:
                 break
-        if not reached[-1] >> size & 1:
-            continue
-        left, taken = size, {length: 1 for length in first}
-        for k in range(len(reached) - 1, 0, -1):
-            length = lengths[k - 1]
-            while not reached[k - 1] >> left & 1:  # what the earlier lengths can't reach, this one gives
-                left -= length
-                taken[length] = taken.get(length, 0) + 1
-        return taken
-    return None
+            bits = more
+            if bits >> size:
+                break
+        reached.append(bits)
+        if bits >> size:
+            break
+    if not reached[-1] >> size:
+        return None
+    left, taken = size, {first: 1}
+    for k in range(len(reached) - 1, 0, -1):
+        length = fitting[k - 1]
+        while not reached[k - 1] >> left & 1:  # what the longer lengths can't reach, this one gives
+            left -= length
+            taken[length] = taken.get(length, 0) + 1
+    return taken
 
 
 def plan(counts: dict[int, int], size: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
-    """Multisets that fill a sequence, with how often each is used, and the counts left over."""
-    counts, found = {length: n for length, n in counts.items() if n}, []
-    while counts:
-        taken = fill(counts, size)
+    """Multisets that fill a sequence, with how often each is used, and the counts left over.
+
+    A longest length that no multiset of the rest completes never will be
+    completed later, when less is left: it is set aside.
+    """
+    counts, found, aside = {length: n for length, n in counts.items() if n}, [], {}
+    lengths = sorted(counts)
+    while lengths:
+        taken = fill(lengths, counts, size)
         if taken is None:
-            break
+            longest = lengths.pop()
+            aside[longest] = counts.pop(longest)
+            continue
         times = min(counts[length] // n for length, n in taken.items())
         found.append((taken, times))
         for length, n in taken.items():
             counts[length] -= n * times
             if not counts[length]:
                 del counts[length]
-    return found, counts
+                lengths.remove(length)
+    return found, aside
 
 
 def cuts(total: int, size: int) -> list[tuple[int, int]]:

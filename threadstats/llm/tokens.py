@@ -18,7 +18,7 @@ import numpy as np
 from threadstats.llm.shared import words_of
 
 #: Words that a Python worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 1_500_000
 
 
 def version(path: str) -> str:
@@ -84,52 +84,61 @@ class Encoder:
         ends = np.flatnonzero(flat == mark)
         return flat[flat != mark], np.diff(np.concatenate([[-1], ends])) - 1
 
-    def _learn(self, split: list[list[bytes]]) -> None:
-        place = self.place
-        new = list({w for words in split for w in words if w not in place})
-        if len(place) + len(new) > MEMO and place:
-            self._forget()
-            place = self.place
-            new = list({w for words in split for w in words})
+    def _learn(self, new: list[bytes]) -> None:
+        ids, lengths = self._words(new)
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.length = np.append(self.length, lengths)
+        self.ids = np.append(self.ids, ids)
+
+    def _places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The memo's place of every word of all texts in turn, and each text's number of words."""
+        words: list[bytes] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = words_of(text)
+            counts[i] = len(own)
+            words += own
+        found = list(map(self.place.get, words))
+        new = {w for w, at in zip(words, found) if at is None} if None in found else set()
         if new:
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            ids, lengths = self._words(new)
-            self.start = np.append(self.start, len(self.ids) + np.cumsum(lengths) - lengths)
-            self.length = np.append(self.length, lengths)
-            self.ids = np.append(self.ids, ids)
-
-    def _split(self, texts: list[bytes]) -> tuple[list[int], list[list[bytes]], list[int]]:
+            if len(self.place) + len(new) > MEMO and self.place:
+                self._forget()
+                new = set(words)
+            self._learn(list(new))
+            found = list(map(self.place.__getitem__, words))
+        return np.array(found, np.int64), counts
+
+    def _plain(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
+        """Which texts go word by word, and which are encoded whole."""
         odd = [i for i, t in enumerate(texts) if not self.words_alone or any(s in t for s in self.special)]
         skip = set(odd)
-        plain = [i for i in range(len(texts)) if i not in skip]
-        split = [words_of(texts[i]) for i in plain]
-        self._learn(split)
-        return plain, split, odd
+        return [i for i in range(len(texts)) if i not in skip], odd
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """The number of ids of each text."""
         out = np.zeros(len(texts), np.int64)
-        plain, split, odd = self._split(texts)
-        place = self.place
-        for i, words in zip(plain, split):
-            out[i] = self.length[[place[w] for w in words]].sum() if words else 0
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = len(ids)
+        plain, odd = self._plain(texts)
+        own, counts = self._places([texts[i] for i in plain])
+        ends = np.concatenate([[0], np.cumsum(self.length[own])])
+        last = np.cumsum(counts)
+        out[plain] = ends[last] - ends[last - counts]
+        out[odd] = [len(ids) for ids in self.whole([texts[i] for i in odd])]
         return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        plain, split, odd = self._split(texts)
-        place = self.place
-        for i, words in zip(plain, split):
-            if words:
-                own = np.array([place[w] for w in words])
-                lengths = self.length[own]
-                ends = np.cumsum(lengths)
-                out[i] = self.ids[np.repeat(self.start[own] - (ends - lengths), lengths) + np.arange(ends[-1])]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = ids
+        plain, odd = self._plain(texts)
+        own, counts = self._places([texts[i] for i in plain])
+        lengths = self.length[own]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(self.start[own] - ends[:-1], lengths) + np.arange(ends[-1])]
+        last = np.cumsum(counts)
+        for i, low, high in zip(plain, ends[last - counts].tolist(), ends[last].tolist()):
+            out[i] = ids[low:high]
+        for i, found in zip(odd, self.whole([texts[i] for i in odd])):
+            out[i] = found
         return out
 
 
