@@ -522,7 +522,7 @@ CTES["points"] = """
 select vec_id, floor(min_by(distance, reference_id) / 0.05) as cx, floor(max_by(distance, reference_id) / 0.05) as cy
 from dists where reference_id in (select reference_id from refs order by reference_id limit 2) group by vec_id"""
 CTES["dense"] = """
-select cx, cy, lpad(cast(cast(cx + 1000000 as bigint) as varchar), 8, '0') || ',' || lpad(cast(cast(cy + 1000000 as bigint) as varchar), 8, '0') as cell
+select cx, cy, cast(cast(cx as bigint) as varchar) || ',' || cast(cast(cy as bigint) as varchar) as cell
 from points group by cx, cy having count(*) >= 3"""
 CTES["reach"] = """
 select cell, cell as other, cx, cy from dense

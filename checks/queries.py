@@ -702,5 +702,5 @@ def lda_topics(spark, sf):
     tokens = X.texts(spark, sf).select(
         F.filter(descriptor_tokens(F.col("content")), lambda w: (F.length(w) >= 3) & ~w.isin(descriptor_stop_words())).alias("tokens")
     )
-    betas = L.topic_terms(tokens, k=5, vocabulary=2000, rounds=5)
+    betas = L.topic_terms(tokens, k=5, rounds=5)
     return W.top_terms_with_ties(betas, 10, ["topic"]).select("topic", "rank", "term", "beta")

@@ -135,3 +135,16 @@ def test_topics_and_cluster_terms(spark):
     tokens = df.select(F.split("content", " ").alias("tokens"))
     betas = L.topic_terms(tokens, k=2, vocabulary=50, rounds=3)
     assert betas.groupBy("topic").agg(F.sum("beta").alias("s")).filter("abs(s - 1) > 1e-6").count() == 0
+
+
+def test_majority_takes_any_label(spark):
+    rows = [(1.0, 7), (1.0, 7), (1.0, 2), (2.0, 9), (2.0, 0), (2.0, 4), (3.0, None), (3.0, 5)]
+    df = spark.createDataFrame(rows, "w double, next_label int")
+    assert sorted(map(tuple, D.majority_collapse(df, ["w"]).collect())) == [(1.0, 7), (2.0, 0), (3.0, 5)]
+
+
+def test_far_cells_stay_apart(spark):
+    points = [(float(x), 0.5) for x in (100_000_000, 100_000_005) for _ in range(3)]
+    df = spark.createDataFrame([(x + 0.5, y) for x, y in points], "x double, y double")
+    found = V.density_clusters(df, ["x", "y"], 1.0, 2).select("cluster").distinct().collect()
+    assert len(found) == 2

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadstats.functions.columns import AGAINST, NEUTRAL, PRO, STANCE_SUFFIX, quartiles, spread
+from threadstats.functions.columns import STANCE_SUFFIX, quartiles, spread
 from threadstats.operators import forest
 from threadstats.operators.terms import descriptor_vocabulary, descriptor_words, through
 from threadstats.storage import written
@@ -194,19 +194,13 @@ def majority_collapse(
 ) -> DataFrame:
     """Equal descriptors become one row with their most frequent label.
 
-    Ties go to the smallest label.  Stance has three codes, so one pass with
-    one counter per code decides; ``digits`` rounds fractions before comparing.
+    Ties go to the smallest label; rows without a label do not vote.
+    ``digits`` rounds fractions before comparing.
     """
     fractions = {f.name for f in labelled.schema if isinstance(f.dataType, T.DoubleType)}
     keys = [
         (F.round(c, digits) if digits is not None and c in fractions else F.col(c)).alias(c)
         for c in features
     ]
-    counted = labelled.groupBy(*keys).agg(*[
-        F.count_if(F.col(label) == code).alias(f"__n{code}") for code in (AGAINST, PRO, NEUTRAL)
-    ])
-    n0, n1, n2 = (F.col(f"__n{code}") for code in (AGAINST, PRO, NEUTRAL))
-    winner = (
-        F.when((n0 >= n1) & (n0 >= n2), F.lit(AGAINST)).when(n1 >= n2, F.lit(PRO)).otherwise(F.lit(NEUTRAL))
-    )
-    return counted.select(*features, winner.alias(label))
+    counted = labelled.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"))
+    return counted.groupBy(*features).agg(F.min_by(label, F.struct(-F.col("__n"), label)).alias(label))

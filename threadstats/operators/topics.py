@@ -20,16 +20,22 @@ MAX_MATRIX_TERMS = 5_000
 
 
 def topic_terms(
-    docs: DataFrame, k: int, vocabulary: int = 10_000, rounds: int = 20, seed: int = 1,
+    docs: DataFrame, k: int, vocabulary: int = MAX_TOPIC_VOCABULARY, rounds: int = 20, seed: int = 1,
     tokens: str = "tokens",
 ) -> DataFrame:
-    """Fit topics and list (topic, term, beta) for the whole vocabulary."""
+    """Fit topics on all documents and list (topic, term, beta) for the whole vocabulary.
+
+    Every round reads every document.  A vocabulary beyond the limit raises
+    instead of losing terms; trim rare terms first (``terms.trim_vocabulary``).
+    """
     if vocabulary > MAX_TOPIC_VOCABULARY:
         raise ValueError(f"at most {MAX_TOPIC_VOCABULARY} terms")
-    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary).fit(docs)
+    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary + 1).fit(docs)
+    if len(counter.vocabulary) > vocabulary:
+        raise ValueError(f"more than {vocabulary} terms: trim the rare ones first")
     # Every round of the fit reads all features, so they are written once.
     features = written(counter.transform(docs).select("features"), "topic-features")
-    model = LDA(k=k, maxIter=rounds, seed=seed, featuresCol="features").fit(features)
+    model = LDA(k=k, maxIter=rounds, seed=seed, subsamplingRate=1.0, featuresCol="features").fit(features)
     topics = model.describeTopics(len(counter.vocabulary))
     spark = docs.sparkSession
     words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "termIndex int, term string")
@@ -69,7 +75,7 @@ def author_matrix(counts: DataFrame, keys: Sequence[str], n_terms: int) -> DataF
 
 
 def cluster_terms(
-    docs: DataFrame, key: str, k: int = 2, n_terms: int = 500, n_top: int = 10, rounds: int = 10
+    docs: DataFrame, key: str, k: int = 2, n_terms: int = 500, n_top: int = 10
 ) -> DataFrame:
     """Leading terms of k clusters of documents under Pearson distance.
 
@@ -80,7 +86,7 @@ def cluster_terms(
     vectors = written(
         distinct_rows(matrix.select(key, centred_unit(F.col("vector")).alias("vector")), key), "author-matrix"
     )
-    clustered = k_medoids(vectors, vectors.orderBy(key).limit(k), key, rounds)
+    clustered = k_medoids(vectors, vectors.orderBy(key).limit(k), key)
     members = written(clustered.select(key, F.col("medoid_id").alias("cluster")), "members")
     totals = counts.join(members, key).groupBy("cluster", "term").agg(F.sum("n").alias("total"))
     return top_terms(totals, n_top, ["cluster"], "total")

@@ -122,21 +122,23 @@ def best_medoids(assigned: DataFrame, id_column: str) -> DataFrame:
     ).select("medoid_id", "n_members", "best.*")
 
 
-def k_medoids(vectors: DataFrame, seeds: DataFrame, id_column: str, rounds: int = 10) -> DataFrame:
+def k_medoids(vectors: DataFrame, seeds: DataFrame, id_column: str) -> DataFrame:
     """Alternate assignment and medoid choice until the medoids stay.
 
-    Returns the vectors with ``medoid_id`` and ``distance``.
+    Each change lowers the total distance, so it ends; should rounding bring
+    medoids back, the first ones to come again stay.  Returns the vectors with
+    ``medoid_id`` and ``distance``.
     """
     vectors = written(vectors.select(id_column, "vector"), "vectors")
     medoids = seeds.select(id_column, "vector")
-    before: set = set()
-    for _ in range(rounds):
+    seen: set[frozenset] = set()
+    while True:
         assigned = written(assign_to_medoids(vectors, medoids, id_column), "assigned")
         medoids = written(best_medoids(assigned, id_column), "medoids").select(id_column, "vector")
-        now = set(_references(medoids, id_column)[0])
-        if now == before:
+        now = frozenset(_references(medoids, id_column)[0])
+        if now in seen:
             break
-        before = now
+        seen.add(now)
     return assign_to_medoids(vectors, medoids, id_column)
 
 
@@ -171,11 +173,11 @@ def density_clusters(
     """Flat density clusters on a grid: adds ``cluster``, NULL for noise.
 
     Points are counted per cell first; touching dense cells form a cluster,
-    named after its smallest cell.  Only cells, never pairs of points, are
+    named after its first cell (indexes as text).  Only cells, never pairs of points, are
     compared.
     """
     names = [f"cell_{i}" for i in range(len(coordinates))]
-    key = F.concat_ws(",", *[F.lpad((F.col(n) + 1_000_000).cast("string"), 8, "0") for n in names])
+    key = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
     cells = written(dense_cells(points, coordinates, width, min_points).withColumn("cell", key), "cells")
     edges = written(_neighbours(cells, names), "cell-edges")
     labels = cells.select("cell", F.col("cell").alias("cluster"))

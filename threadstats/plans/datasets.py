@@ -18,7 +18,6 @@ from threadstats.operators.terms import earliest_posts, leading_words
 from threadstats.storage import written
 
 ORDER = ["date", "kind", "entry_id"]
-VOCABULARY_POSTS = 100_000
 
 
 def base_entries(
@@ -51,8 +50,10 @@ def annotated_entries(
     return narrow
 
 
-def f0_words(entries: DataFrame, n: int = D.F0_WORDS, posts: int = VOCABULARY_POSTS) -> DataFrame:
-    """The descriptor words: leading words of the earliest posts."""
+def f0_words(entries: DataFrame, n: int = D.F0_WORDS, posts: int | None = None) -> DataFrame:
+    """The descriptor words: leading words of all posts, or of the ``posts`` earliest ones."""
+    if posts is None:
+        return leading_words(entries, n)
     ordered = entries.withColumn("kind", F.col("comment_id").isNull().cast("int"))
     return leading_words(earliest_posts(ordered, posts, ORDER), n)
 
