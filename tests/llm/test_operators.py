@@ -279,3 +279,11 @@ def test_minimum_bin_slack_fills_to_the_last_id():
             used[length] += n * times
     assert dict(used) == counts
     assert packing.cuts(11, 64) == [(0, 8), (8, 2), (10, 1)]
+
+
+def test_texts_about_as_long_as_a_chunk_keep_their_row(spark):
+    sizes = [39, 40, 41, 42]
+    rows = [(i, "ab cd " * 9) for i in range(2)] + [(n, ("word" * 20)[:n]) for n in sizes]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = piece_scan.decode(piece_scan.encode(df, queries.PIECES, chunk=40), queries.PIECES).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in cut) == sorted(rows)

@@ -328,8 +328,6 @@ def _split_texts(docs: DataFrame, path: str, chunk: int, long_: bool) -> DataFra
             if long_:
                 for doc_id, text in zip(ids, plain):
                     row += 1
-                    if len(text) <= chunk:
-                        continue
                     normal = own.normal(text)
                     if len(normal) <= chunk:
                         continue
