@@ -287,3 +287,20 @@ def test_texts_about_as_long_as_a_chunk_keep_their_row(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     cut = piece_scan.decode(piece_scan.encode(df, queries.PIECES, chunk=40), queries.PIECES).collect()
     assert sorted((r["doc_id"], r["text"]) for r in cut) == sorted(rows)
+
+
+def test_ids_of_a_merge_model_are_the_library_s(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    texts_ = [*_texts(6), "  two  spaces ", "tab\tand\nline", "▁mark a▁b", "x" * 100, "日本" * 60 + " é", "a\u0000b"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string").coalesce(2)
+    wanted = {i: library.encode(t or "") for i, t in enumerate(texts_)}
+    assert {r["doc_id"]: r["ids"] for r in piece_scan.encode(df, queries.PIECES, chunk=40).collect()} == wanted
+
+
+def test_the_scan_keeps_texts_about_as_long_as_a_chunk(spark):
+    rows = [(n, ("word" * 20)[:n]) for n in (39, 40, 41)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = piece_scan.decode(piece_scan.scan(df, queries.PIECES, chunk=40), queries.PIECES).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == rows

@@ -14,9 +14,13 @@ Where no piece reaches over a point (before a space mark that follows another
 character), every segmentation has a cut: the words between such points are
 segmented once per task and remembered.
 
-The model file's scores decide whatever its type.  For a file of the merge
-type they are ranks, and the ids are those of the unigram rule over its pieces,
-not those that merging would give.  Equal sums of different pieces go to the
+A file of the merge (BPE) type holds ranks instead of scores: ``encode`` gives
+the ids of the library's merging, and the scan (``scan``) is for the others.  No
+merge reaches over a point that no piece reaches over, so a long text is cut at
+such points and its stretches are merged apart; a longer word stays whole.  If a
+model's words cannot be merged apart, each text is merged whole.
+
+In the scan, equal sums of different pieces go to the
 larger fixed preference (``tie``), so a text gets the same pieces however it is
 split; only orders of the same pieces may then differ.  A character that no
 piece covers costs ``UNKNOWN`` more than the worst piece and becomes its bytes'
@@ -46,6 +50,7 @@ SPACE = "▁"
 UNKNOWN = 10.0
 CHUNK, BLOCK = 32_768, 64
 MEMO = 500_000  # words that a Python worker remembers
+MERGED_BYTES = 1 << 20  # of text that a task merges at once
 NEVER = -np.inf
 _BASE = np.uint64(0x100000001B3)
 
@@ -55,6 +60,30 @@ def tie(piece: int) -> float:
     return 1e-6 * (piece * 7919 % 1000)
 
 
+def fields(data: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protobuf message; pieces (field 1 of a model) are only passed over."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            out[key >> 3] = data[at:at + size]
+            at += size
+    return out
+
+
 class Pieces:
     """The pieces of a model, and segmentation with them."""
 
@@ -83,6 +112,12 @@ class Pieces:
                     raise ValueError("two pieces share a hash")
                 self.hashed[length] = (key[order], np.array([self.score[self.text[i]][0] for i in own])[order],
                                        np.array(own, np.int64)[order])
+        file = fields(model.serialized_model_proto())
+        training, rule = fields(file.get(2, b"")), fields(file.get(3, b""))
+        self.merges = training.get(3, 1) == 2
+        # Words normalise to themselves, each begins with a space mark, and unknown characters are bytes.
+        self.merged_apart = (self.words_apart and SPACE in self.score and len(self.bytes) == 256 and not rule.get(2)
+                             and rule.get(3, 1) == 1 and rule.get(4, 1) == 0 and rule.get(5, 1) == 1 and not training.get(24))
         self.memo: dict[str, tuple[int, ...]] = {}
         self.best: dict[str, float] = {}
 
@@ -219,6 +254,22 @@ class Pieces:
             self.learn(new)
         return [[i for w in words for i in memo[w]] for words in split]
 
+    def merged(self, stretches: list[str]) -> list[list[int]]:
+        """The ids of stretches of normalised texts by the library's merging, if ``merged_apart``."""
+        found = self.model.encode([t[1:] for t in stretches], num_threads=1)  # which puts the first space mark back
+        return [[self.score[SPACE][1]] if t == SPACE else ids for t, ids in zip(stretches, found)]
+
+    def stretches(self, normal: str, chunk: int) -> list[str]:
+        """A text cut before words, ``chunk`` characters at most; a longer word is a stretch of its own."""
+        out, part, size = [], [], 0
+        for word in self.split(normal):
+            if part and size + len(word) > chunk:
+                out.append("".join(part))
+                part, size = [], 0
+            part.append(word)
+            size += len(word)
+        return [*out, "".join(part)]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, bytes put together, space marks as spaces, without the leading space."""
         out, raw = [], bytearray()
@@ -356,6 +407,64 @@ def _matrix(flat: list[float], states: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids) for every row: by merging or by the best segmentation, as the model's type asks.
+
+    Call it inside a ``scope`` that outlives the result.
+    """
+    return merge(docs, path, chunk) if pieces(path).merges else scan(docs, path, chunk)
+
+
+def merge(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids) for every row: the library's ids for a model of the merge type."""
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(path)
+        for batch in chunks(batches, size=MERGED_BYTES):
+            plain = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            keep = [k for k, t in enumerate(plain) if not own.merged_apart or len(own.model.normalize(t)) <= chunk]
+            found = own.model.encode([plain[k] for k in keep], num_threads=1)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(keep, pa.int64())),
+                                   pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task, row = pieces(path), TaskContext.get().partitionId(), 0
+        for batch in chunks(batches):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                row += 1
+                normal = own.normal(text)
+                if len(normal) <= chunk:
+                    continue
+                parts = own.stretches(normal, chunk)
+                for k in range(0, len(parts), 64):
+                    part = parts[k:k + 64]
+                    yield pa.record_batch([
+                        pa.array([task << 32 | row] * len(part)), pa.array([doc_id] * len(part), pa.int64()),
+                        pa.array(range(k, k + len(part)), pa.int32()), pa.array(part, pa.string())],
+                        ["row_id", "doc_id", "chunk", "piece_text"])
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(path)
+        for batch in chunks(batches, "piece_text", MERGED_BYTES):
+            found = own.merged(batch.column("piece_text").to_pylist())
+            yield pa.record_batch([batch.column("row_id"), batch.column("doc_id"), batch.column("chunk"),
+                                   pa.array(found, pa.list_(pa.int32()))], ["row_id", "doc_id", "chunk", "ids"])
+
+    found = texts(docs).mapInArrow(short, "doc_id bigint, ids array<int>")
+    if not pieces(path).merged_apart:
+        return found
+    parts = written(texts(docs).mapInArrow(cut, "row_id bigint, doc_id bigint, chunk int, piece_text string")
+                    .repartition("row_id", "chunk"), "stretches")
+    return found.union(_whole(parts.mapInArrow(ids_of, "row_id bigint, doc_id bigint, chunk int, ids array<int>")))
+
+
+def _whole(chunk_ids: DataFrame) -> DataFrame:
+    """(doc_id, ids) of each text from the ids of its chunks."""
+    whole = written(chunk_ids.groupBy("row_id").agg(
+        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")), "traced")
+    return whole.select("doc_id", F.flatten("parts.ids").alias("ids"))
+
+
+def scan(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids) for every row: the ids of the best segmentation of the whole text.
 
     Only the ids of texts longer than ``chunk`` are written; call it inside a
@@ -423,10 +532,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     chunk_ids = parts.join(inner, ["row_id", "chunk"]).mapInArrow(
         traced, "row_id bigint, doc_id bigint, chunk int, ids array<int>")
-    whole = written(chunk_ids.groupBy("row_id").agg(
-        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts")), "traced")
-    whole = whole.select("doc_id", F.flatten("parts.ids").alias("ids"))
-    return _split_texts(docs, path, chunk, False).union(whole)
+    return _split_texts(docs, path, chunk, False).union(_whole(chunk_ids))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
