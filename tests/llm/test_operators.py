@@ -304,3 +304,17 @@ def test_the_scan_keeps_texts_about_as_long_as_a_chunk(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     got = piece_scan.decode(piece_scan.scan(df, queries.PIECES, chunk=40), queries.PIECES).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+
+
+def test_special_strings_in_any_case_are_ordinary_text_to_the_library():
+    from threadstats.llm.tokens import Encoder
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    texts_ = ["one two three", "a <|STARTOFTEXT|> b", "mixed <|EndOfText|>end", "<|endoftext|> x", "four <| five", "one two"]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts_]
+    own = Encoder(queries.WORD_BPE)
+    batch = [t.encode() for t in texts_]
+    for _ in range(2):  # the second time from the words remembered
+        assert [i.tolist() for i in own.encode(batch)] == wanted
+        assert own.counts(batch).tolist() == [len(i) for i in wanted]

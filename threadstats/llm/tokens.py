@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from threadstats.llm.shared import words_of
+from threadstats.llm.shared import LOWER, words_of
 
 #: Words that a Python worker remembers before it starts anew.
 MEMO = 1_500_000
@@ -82,6 +82,8 @@ class Encoder:
         joined = [content.encode().join(words[i:i + 500]) for i in range(0, len(words), 500)]
         flat = np.concatenate([np.append(x, np.uint32(mark)) for x in self.whole(joined)])
         ends = np.flatnonzero(flat == mark)
+        if len(ends) != len(words):
+            raise ValueError(f"{len(words)} words gave {len(ends)} ends: a word holds a special string")
         return flat[flat != mark], np.diff(np.concatenate([[-1], ends])) - 1
 
     def _learn(self, new: list[bytes]) -> None:
@@ -110,8 +112,14 @@ class Encoder:
         return np.array(found, np.int64), counts
 
     def _plain(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
-        """Which texts go word by word, and which are encoded whole."""
-        odd = [i for i, t in enumerate(texts) if not self.words_alone or any(s in t for s in self.special)]
+        """Which texts go word by word, and which are encoded whole.
+
+        Words are lower-cased before the library sees them, so a special string counts in any case of A-Z.
+        """
+        if self.words_alone:
+            odd = [i for i, t in enumerate(texts) if any(s in t or s in t.translate(LOWER) for s in self.special)]
+        else:
+            odd = list(range(len(texts)))
         skip = set(odd)
         return [i for i in range(len(texts)) if i not in skip], odd
 
