@@ -318,3 +318,12 @@ def test_special_strings_in_any_case_are_ordinary_text_to_the_library():
     for _ in range(2):  # the second time from the words remembered
         assert [i.tolist() for i in own.encode(batch)] == wanted
         assert own.counts(batch).tolist() == [len(i) for i in wanted]
+
+
+def test_url_tokens_reach_to_the_last_segment(spark):
+    urls = [(i, f"http://h{i}.example.org/es/1/2/3/4/ads/{i}") for i in range(20)]
+    urls += [(100 + i, f"http://h{i}.com/fr/1/2/3/4/news/{i}") for i in range(20)]
+    urls += [(200, "http://x.net/p/1/2/3/4/ads/7"), (201, "http://x.net/p/1/2/3/4/news/7")]
+    df = spark.createDataFrame(urls, "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, queries.URL_RULES).collect()}
+    assert (got[200], got[201]) == ("block", "allow")

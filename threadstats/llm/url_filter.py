@@ -53,7 +53,7 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     labels = F.split(host, "\\.")
     n = F.size(labels)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shape = F.transform(F.slice(segments, 1, 4), lambda s: F.concat(
+    shape = F.transform(segments, lambda s: F.concat(
         F.lit("path:"), F.regexp_replace(F.translate(s, UPPER, LOWER), "[0-9]+", "0")))
     query = F.regexp_extract(url, "\\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda q: q != ""), lambda q: F.concat(
