@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadstats.llm import (
-    cross_polytope, embed_dedup, lm_scoring, packing, piece_scan, quality, simhash, token_counts, toxicity, url_filter,
+    cross_polytope, embed_dedup, hard_negatives, lm_scoring, mixing, packing, piece_scan, quality, simhash, token_counts,
+    toxicity, url_filter, whitening,
 )
 from threadstats.llm.shared import table
 from threadstats.storage import scope, scratch_path
@@ -84,11 +85,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as the 64-bit integer it is at these sizes (a larger one raises)."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), count=8, scale=1024, shift=100_000)
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_dedup, op2_toxicity, op3_url_filter, op4_sentencepiece, op5_nearest, op6_lm_scoring, op7_token_counts,
-    op8_packing, op9_quality, op10_embedding_dedup)}
+    op8_packing, op9_quality, op10_embedding_dedup, op11_whitening, op12_mixing, op13_hard_negatives)}
 
-#: Only the exact comparison of vectors can be said in SQL; the others are tested against brute-force versions.
+#: Exact comparisons of vectors can be said in SQL; the others are tested against brute-force versions.
 ORACLE_SQL = {
     "op10_embedding_dedup": """
 with recursive v as (
@@ -107,5 +123,26 @@ select e.vec_id,
        (select min(b) from reach r where r.a = e.vec_id) as component_id,
        e.vec_id = (select min(b) from reach r where r.a = e.vec_id) as kept
 from embeddings e
+""",
+    "op13_hard_negatives": """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, x -> floor(256 * x::double)) as x
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+scores as (
+    select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+           cast(list_inner_product(a.x, b.x) as bigint) as score
+    from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+    select anchor_id, other_id as positive_id, score as positive_score from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (
+           partition by anchor_id, positive_id order by score desc, other_id) as int) as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
 """,
 }

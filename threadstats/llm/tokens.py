@@ -2,7 +2,7 @@
 
 A tokenizer that replaces runs of white space and then keeps only the matches
 of a pattern (white space is none of them) encodes each word by itself; its
-words are encoded once per task and remembered.  All other tokenizers, and
+words are encoded once per worker and remembered.  All other tokenizers, and
 texts that hold one of a tokenizer's special strings, are encoded whole.
 """
 
@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from threadstats.llm.shared import LOWER, words_of
+from threadstats.llm.shared import LOWER
 
 #: Words that a Python worker remembers before it starts anew.
 MEMO = 1_500_000
@@ -41,6 +41,17 @@ def by_word(path: str) -> bool:
             and first.get("invert") is True and spec.get("post_processor") is None)
 
 
+def lowered_words(text: bytes) -> list[bytes]:
+    """The words between ASCII white space, lower-cased as far as that can come before composing.
+
+    The library composes (NFC) before it lower-cases, and some letters compose only in lower
+    case: so words that hold anything but ASCII are left to it.
+    """
+    if text.isascii():
+        return text.lower().split()
+    return [word.lower() if word.isascii() else word for word in text.split()]
+
+
 class Encoder:
     """Token ids of texts given as UTF-8."""
 
@@ -98,7 +109,7 @@ class Encoder:
         words: list[bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = words_of(text)
+            own = lowered_words(text)
             counts[i] = len(own)
             words += own
         found = list(map(self.place.get, words))
@@ -114,7 +125,7 @@ class Encoder:
     def _plain(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
         """Which texts go word by word, and which are encoded whole.
 
-        Words are lower-cased before the library sees them, so a special string counts in any case of A-Z.
+        ASCII words are lower-cased before the library sees them, so a special string counts in any case of A-Z.
         """
         if self.words_alone:
             odd = [i for i, t in enumerate(texts) if any(s in t or s in t.translate(LOWER) for s in self.special)]
