@@ -531,6 +531,27 @@ select r.cell, d.cell, d.cx, d.cy from reach r join dense d on abs(d.cx - r.cx)
 FINAL["density_clusters"] = """
 select vec_id, cluster from {points} left join (
   select cx, cy, min(cell) as cluster from {reach} group by cx, cy) using (cx, cy)"""
+CTES["pair_dists"] = """
+select a.vec_id, b.vec_id as other, greatest(1 - list_inner_product(a.v, b.v), 0.0) as distance
+from units a join units b on a.vec_id <> b.vec_id"""
+CTES["near_five"] = """
+select vec_id, distance, row_number() over (partition by vec_id order by distance) as rank from pair_dists
+qualify row_number() over (partition by vec_id order by distance) <= 5"""
+FINAL["neighbour_graph"] = "select vec_id, round(sum(distance), 6) as distance, count(*) as n from {near_five} group by vec_id"
+CTES["cores"] = "select vec_id, distance as core from near_five where rank = 4"
+FINAL["core_distances"] = "select vec_id, round(core, 6) as core from {cores}"
+# Prim's way: the nearest node outside joins the tree, step by step; d holds each node's distance to the tree.
+FINAL["reach_forest"] = """
+with recursive places as (select vec_id, core, row_number() over (order by vec_id) as place from {cores}),
+reach_rows as (
+  select a.place, list(case when a.place = b.place then null else greatest(a.core, b.core, coalesce(p.distance, 0)) end order by b.place) as d
+  from places a cross join places b left join {pair_dists} p on p.vec_id = a.vec_id and p.other = b.vec_id group by a.place),
+prim as (
+  select 1 as step, cast(null as double) as weight, d from reach_rows where place = 1
+  union all
+  select p.step + 1, list_min(p.d), list_transform(p.d, lambda x, i: case when x is null or i = r.place then null else least(x, r.d[i]) end)
+  from prim p join reach_rows r on r.place = list_position(p.d, list_min(p.d)))
+select count(weight) as n_edges, round(sum(weight), 6) as total, round(max(weight), 6) as longest from prim"""
 CTES["event_weights"] = """
 select cast(user_id as varchar) as author, cast(floor((day(ts) - 1) / 2) + 1 as int) as period, event_type as term, count(*) as weight
 from events group by all"""

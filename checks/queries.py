@@ -14,9 +14,11 @@ from checks import fixtures as X
 from threadstats import schemas
 from threadstats.functions import columns as C
 from threadstats.functions.text import descriptor_stop_words, descriptor_tokens
+from threadstats.operators import density as K
 from threadstats.operators import descriptors as D
 from threadstats.operators import entries as E
 from threadstats.operators import forest as G
+from threadstats.operators import neighbours as N
 from threadstats.operators import periods as P
 from threadstats.operators import stance as S
 from threadstats.operators import terms as W
@@ -664,6 +666,43 @@ def density_clusters(spark, sf):
     return V.density_clusters(written(points, "points"), ["x", "y"], 0.05, 3).select("vec_id", "cluster")
 
 
+def _indexed(spark, sf, k):
+    """All vectors, indexed, and the graph of their k nearest neighbours."""
+    index = N.build(written(_units(spark, sf).drop("label"), "units"), "vec_id")
+    return index, N.neighbour_graph(index, k)
+
+
+@query
+def neighbour_graph(spark, sf):
+    index, graph = _indexed(spark, sf, 5)
+    names = index.table.select("node", "vec_id")
+    near = graph.join(names, "node").join(names.toDF("other", "neighbour_id"), "other")
+    return rounded(near.groupBy("vec_id").agg(F.sum("distance").alias("distance"), F.count(F.lit(1)).alias("n")), "distance")
+
+
+@query
+def core_distances(spark, sf):
+    index, graph = _indexed(spark, sf, 4)
+    cores = K.core_distances(index, graph, 5)
+    return rounded(cores.join(index.table.select("node", "vec_id"), "node").select("vec_id", "core"), "core")
+
+
+@query
+def reach_forest(spark, sf):
+    index, graph = _indexed(spark, sf, 8)
+    forest = K.reach_forest(index, graph, 5)
+    return rounded(forest.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("total"), F.max("weight").alias("longest")), "total", "longest")
+
+
+@query
+def stable_clusters(spark, sf):
+    index, graph = _indexed(spark, sf, 8)
+    forest = K.reach_forest(index, graph, 5)
+    labels = K.stable_clusters(index, forest, 5, K.rungs_of(forest, 12))
+    names = index.table.select("node", "vec_id")
+    return labels.join(names, "node").join(names.toDF("cluster", "cluster_id"), "cluster", "left").select("vec_id", "cluster_id")
+
+
 @query
 def pca_project(spark, sf):
     projected = V.pca_project(_units(spark, sf), 10, "vec_id")
