@@ -179,6 +179,18 @@ select d.entry_id as of_id, c.anc_id as entry_id, cast(c.depth as int) as distan
 from (select entry_id from {depths} qualify row_number() over (partition by root_id order by depth desc, entry_id) = 1) d
 join {closure} c using (entry_id)
 union all select entry_id, entry_id, 0 from (select entry_id from depths qualify row_number() over (partition by root_id order by depth desc, entry_id) = 1)"""
+CTES["walk"] = """
+select entry_id, [submission_id] as path, 0 as depth from e where parent_id is null
+union all
+select e.entry_id, list_append(w.path, e.entry_id), w.depth + 1 from walk w join e on e.parent_id = w.entry_id"""
+FINAL["entry_intervals"] = """
+select entry_id, start, start + n as stop, cast(depth as int) as depth
+from (select entry_id, depth, row_number() over (order by path) - 1 as start from {walk})
+join (select e.entry_id, count(c.entry_id) as n from {e} left join {closure} c on c.anc_id = e.entry_id group by e.entry_id) using (entry_id)"""
+FINAL["interval_descendants"] = FINAL["thread_closure"]
+FINAL["interval_sums"] = """
+select a.entry_id, cast(count(*) filter (d.stance = 1) + max(cast(a.stance = 1 as int)) as bigint) as total
+from {e} a left join {closure} c on c.anc_id = a.entry_id left join e d on d.entry_id = c.entry_id group by a.entry_id"""
 FINAL["conversation_depth"] = """
 with recursive walk as (
   select conv_id, turn, conv_id || '-0' as root_id, 0 as depth from conversations where turn = 0
@@ -331,6 +343,18 @@ select doc_id, term, n, n / all_n * log2(n_docs / df) as weight
 from a_counts join (select doc_id, sum(n) as all_n from a_counts group by doc_id) using (doc_id)
 join (select term, count(*) as df from a_counts group by term) using (term), (select count(*) as n_docs from documents)"""
 FINAL["tfidf"] = "select doc_id, term, n, round(weight, 6) as weight from {weights}"
+CTES["weight_lists"] = """
+select doc_id, list(struct_pack(t := term, w := weight) order by term) as v from weights where weight <> 0 group by doc_id"""
+CTES["distinct_weights"] = """
+select doc_id, term, weight / sqrt(sum(weight * weight) over (partition by doc_id)) as u from weights
+where weight <> 0 and doc_id in (select min(doc_id) from weight_lists group by v)"""
+FINAL["similar_pairs"] = """
+select a.doc_id as a, b.doc_id as b, round(sum(a.u * b.u), 6) as similarity
+from {distinct_weights} a join distinct_weights b on a.term = b.term and a.doc_id < b.doc_id
+group by a.doc_id, b.doc_id having sum(a.u * b.u) >= 0.7"""
+FINAL["vector_classes"] = """
+select doc_id, min(doc_id) over (partition by v) as class_id from (
+  select doc_id, list(struct_pack(t := term, n := n) order by term) as v from {a_counts} group by doc_id)"""
 FINAL["top_terms_per_doc"] = """
 select doc_id, cast(row_number() over (partition by doc_id order by round(weight, 9) desc, term) as int) as rank, term,
   round(weight, 6) as weight from {weights} where term <> 'dont' qualify rank <= 10"""
@@ -518,6 +542,25 @@ select medoid_id, n_members, vec_id as new_medoid_id, round(s, 6) as total_dista
   select a.medoid_id, a.vec_id, count(*) as n_members, sum(1 - list_inner_product(a.v, b.v)) as s
   from {nearest} a join nearest b using (medoid_id) group by a.medoid_id, a.vec_id)
 qualify row_number() over (partition by medoid_id order by round(s, 9), vec_id) = 1"""
+FINAL["nearest_two_medoids"] = """
+select vec_id, max(reference_id) filter (rank = 1) as medoid_id, round(max(distance) filter (rank = 1), 6) as distance,
+  max(reference_id) filter (rank = 2) as second_id, round(max(distance) filter (rank = 2), 6) as second_distance
+from (select *, row_number() over (partition by vec_id order by distance, reference_id) as rank from {dists}) group by vec_id"""
+FINAL["swap_gains"] = """
+select m.reference_id as medoid_id, c.vec_id as candidate_id,
+  round(sum(least((select min(o.distance) from dists o where o.vec_id = x.vec_id and o.reference_id <> m.reference_id),
+                  greatest(1 - list_inner_product(x.v, c.v), 0.0))
+            - (select min(o.distance) from dists o where o.vec_id = x.vec_id)), 6) as change
+from {units} x, (select distinct reference_id from {dists}) m, (select * from units where vec_id % 25 = 0 and vec_id < 500) c
+group by m.reference_id, c.vec_id"""
+FINAL["landmark_coordinates"] = """
+with middle as (select list(a order by i) as c from (
+  select i, avg(x) as a from (select unnest(v) as x, unnest(range(1, len(v) + 1)) as i
+    from (select v from {units} order by vec_id limit 200)) group by i)),
+first as (select v as f from units order by vec_id limit 1)
+select vec_id, round(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) as squared_length,
+  round(list_sum(list_transform(list_zip(v, f), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) as squared_distance
+from units, middle, first"""
 CTES["points"] = """
 select vec_id, floor(min_by(distance, reference_id) / 0.05) as cx, floor(max_by(distance, reference_id) / 0.05) as cy
 from dists where reference_id in (select reference_id from refs order by reference_id limit 2) group by vec_id"""
@@ -542,15 +585,15 @@ CTES["cores"] = "select vec_id, distance as core from near_five where rank = 4"
 FINAL["core_distances"] = "select vec_id, round(core, 6) as core from {cores}"
 # Prim's way: the nearest node outside joins the tree, step by step; d holds each node's distance to the tree.
 FINAL["reach_forest"] = """
-with recursive places as (select vec_id, core, row_number() over (order by vec_id) as place from {cores}),
-reach_rows as (
+with places as (select vec_id, core, row_number() over (order by vec_id) as place from {cores}),
+reach_rows as materialized (
   select a.place, list(case when a.place = b.place then null else greatest(a.core, b.core, coalesce(p.distance, 0)) end order by b.place) as d
   from places a cross join places b left join {pair_dists} p on p.vec_id = a.vec_id and p.other = b.vec_id group by a.place),
 prim as (
   select 1 as step, cast(null as double) as weight, d from reach_rows where place = 1
   union all
-  select p.step + 1, list_min(p.d), list_transform(p.d, lambda x, i: case when x is null or i = r.place then null else least(x, r.d[i]) end)
-  from prim p join reach_rows r on r.place = list_position(p.d, list_min(p.d)))
+  select p.step + 1, list_min(p.d), list_transform(list_zip(p.d, r.d), lambda z: case when z[1] is not null and z[2] is not null then least(z[1], z[2]) end)
+  from prim p join reach_rows r on r.place = list_position(p.d, list_min(p.d)) where list_min(p.d) is not null)
 select count(weight) as n_edges, round(sum(weight), 6) as total, round(max(weight), 6) as longest from prim"""
 CTES["event_weights"] = """
 select cast(user_id as varchar) as author, cast(floor((day(ts) - 1) / 2) + 1 as int) as period, event_type as term, count(*) as weight
@@ -558,10 +601,13 @@ from events group by all"""
 CTES["event_vectors"] = """
 select author, period, string_agg(term || ':' || weight, ' ' order by term) as vector from event_weights group by author, period"""
 FINAL["distinct_vectors"] = "select vector, count(*) as n_docs from {event_vectors} group by vector"
+CTES["vector_places"] = """
+select author, period, dense_rank() over (partition by period order by first_author) as position from (
+  select author, period, min(author) over (partition by period, vector) as first_author from event_vectors)"""
 FINAL["vector_transition"] = """
-select a.author, a.vector_id as start_id, b.vector_id as end_id
-from (select author, min(author) over (partition by vector) as vector_id from {event_vectors} where period = 1) a
-join (select author, min(author) over (partition by vector) as vector_id from event_vectors where period = 14) b using (author)"""
+select a.author, a.position as start_id, b.position as end_id
+from (select * from {vector_places} where period = 1) a join (select * from vector_places where period = 14) b using (author)"""
+FINAL["vector_positions"] = "select author, period, position from {vector_places}"
 
 
 def _needed(sql: str, found: list[str]) -> list[str]:

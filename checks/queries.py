@@ -18,8 +18,12 @@ from threadstats.operators import density as K
 from threadstats.operators import descriptors as D
 from threadstats.operators import entries as E
 from threadstats.operators import forest as G
+from threadstats.operators import intervals as T
+from threadstats.operators import landmarks as A
+from threadstats.operators import medoids as M
 from threadstats.operators import neighbours as N
 from threadstats.operators import periods as P
+from threadstats.operators import similarity as Y
 from threadstats.operators import stance as S
 from threadstats.operators import terms as W
 from threadstats.operators import topics as L
@@ -362,6 +366,28 @@ def thread_depth(spark, sf):
     return G.thread_depth(X.entries(spark, sf))
 
 
+def _intervals(spark, sf):
+    entries = written(X.entries(spark, sf), "entries")
+    return entries, T.interval_labels(entries)
+
+
+@query
+def entry_intervals(spark, sf):
+    return _intervals(spark, sf)[1].filter("is_entry").select("entry_id", "start", "stop", "depth")
+
+
+@query
+def interval_descendants(spark, sf):
+    entries, labels = _intervals(spark, sf)
+    return T.descendants_by_range(labels, entries.select(F.col("submission_id").alias("entry_id")).distinct())
+
+
+@query
+def interval_sums(spark, sf):
+    entries, labels = _intervals(spark, sf)
+    return T.range_sums(labels, entries.withColumn("n", (F.col("stance") == 1).cast("bigint")), "n")
+
+
 @query
 def ancestors(spark, sf):
     entries = X.entries(spark, sf)
@@ -666,6 +692,57 @@ def density_clusters(spark, sf):
     return V.density_clusters(written(points, "points"), ["x", "y"], 0.05, 3).select("vec_id", "cluster")
 
 
+@query
+def nearest_two_medoids(spark, sf):
+    units = _units(spark, sf)
+    return rounded(M.nearest_two(units, _label_references(units), "vec_id"), "distance", "second_distance")
+
+
+@query
+def swap_gains(spark, sf):
+    """The change of the total by every exchange of a label's first vector for a vector whose id is divisible by 25."""
+    units = written(_units(spark, sf), "units")
+    ids, medoids = V._references(_label_references(units), "vec_id")
+    names, points = V._references(units.filter(F.col("vec_id").isin(list(range(0, 500, 25)))), "vec_id")
+    gains = M.swap_gains(units, medoids, points)
+    return rounded(gains.select(
+        F.array(*map(F.lit, ids))[F.col("medoid")].alias("medoid_id"),
+        F.array(*map(F.lit, names))[F.col("candidate")].alias("candidate_id"), "change"), "change")
+
+
+@query
+def swapped_medoids(spark, sf):
+    units = _units(spark, sf)
+    placed, _ = M.swapped_medoids(units, _label_references(units), "vec_id", candidates=500)
+    return rounded(placed.select("vec_id", "medoid_id", "distance"), "distance")
+
+
+@query
+def landmark_coordinates(spark, sf):
+    """Without signs: the squared length of each row's coordinates, and its distance from the first landmark's."""
+    units = written(_units(spark, sf), "units")
+    landmarks = units.orderBy("vec_id").limit(200)
+    placed = written(A.landmark_coordinates(units, landmarks, 64, "vec_id"), "coordinates")
+    first = F.array(*map(F.lit, placed.orderBy("vec_id").first()["coordinates"]))
+    squared = F.aggregate(F.zip_with("coordinates", first, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    length = F.aggregate("coordinates", F.lit(0.0), lambda s, x: s + x * x)
+    return rounded(placed.select("vec_id", length.alias("squared_length"), squared.alias("squared_distance")),
+                   "squared_length", "squared_distance")
+
+
+@query
+def similar_pairs(spark, sf):
+    texts = X.texts(spark, sf)
+    counts = written(W.descriptor_counts(texts, ["doc_id"], stem=False), "counts")
+    weights = written(W.tf_idf(counts, texts, ["doc_id"]), "weights")
+    return rounded(Y.similar_pairs(weights, "doc_id", 0.7), "similarity")
+
+
+@query
+def vector_classes(spark, sf):
+    return Y.vector_classes(W.descriptor_counts(X.texts(spark, sf), ["doc_id"], stem=False), "doc_id", "n")
+
+
 def _indexed(spark, sf, k):
     """All vectors, indexed, and the graph of their k nearest neighbours."""
     index = N.build(written(_units(spark, sf).drop("label"), "units"), "vec_id")
@@ -731,6 +808,11 @@ def vector_transition(spark, sf):
     return V.vector_transition(_event_weights(spark, sf), 1, 14)
 
 
+@query
+def vector_positions(spark, sf):
+    return V.vector_positions(_event_weights(spark, sf), range(1, 17))
+
+
 @query
 def cluster_terms(spark, sf):
     return L.cluster_terms(X.texts(spark, sf), "author").select("cluster", "rank", "term", "total")

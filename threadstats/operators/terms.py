@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from threadstats.functions import text as X
 from threadstats.functions.stem import with_stem
 from threadstats.functions.words import ENGLISH_STOP_WORDS, NEVER_LEADING
+from threadstats.operators.numbering import first_rows
 from threadstats.storage import broadcast_up_to, written
 
 # A stem map of this many rows (two short strings each) stays near 200 MB.
@@ -230,12 +231,8 @@ def term_vectors(weights: DataFrame, keys: Sequence[str], value: str = "weight")
 
 
 def earliest_posts(entries: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first n posts in date order.
-
-    Only the ordering key is ranked (n narrow rows); texts are joined back.
-    """
-    first = entries.select(*order).orderBy(*order).limit(n)
-    return entries.join(broadcast_up_to(written(first, "earliest"), 1_000_000), list(order), "left_semi")
+    """The first n posts in date order: found by counts per day, so only one day's posts are put in order."""
+    return first_rows(entries, n, order)
 
 
 def leading_words(posts: DataFrame, n: int, author: str = "author", stem: bool = True) -> DataFrame:

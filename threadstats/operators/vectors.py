@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadstats.operators.numbering import numbered
 from threadstats.operators.terms import term_vectors
-from threadstats.storage import Rounds, written
+from threadstats.storage import Rounds, broadcast_up_to, written
 
 # Reference vectors travel with every task, so their number is bounded.
 MAX_REFERENCES = 1_000
 MAX_CLUSTER_ROUNDS = 40
+# Digests with their positions: about 100 MB.
+MAX_BROADCAST_VECTORS = 1_000_000
 
 
 def _scaled(rows: np.ndarray) -> pd.Series:
@@ -217,17 +220,33 @@ def top_clusters(clustered: DataFrame, cluster: str, n: int = 8) -> DataFrame:
     return clustered.withColumn("label", F.when(rank > 0, rank).otherwise(1))
 
 
+def vector_positions(weights: DataFrame, periods: Sequence[int], value: str = "weight") -> DataFrame:
+    """(author, period, position): where each author's vector stands among a period's distinct vectors.
+
+    Distinct vectors are numbered 1, 2, 3 ... without gaps, in the order of the smallest
+    author that has them.  Numbers are given to distinct vectors only; authors get theirs
+    by a digest, from the small side of a join, so a very common vector is no hot spot.
+    """
+    chosen = weights.filter(F.col("period").isin(list(periods)))
+    vectors = term_vectors(chosen, ["author", "period"], value)
+    spelled = F.sha2(F.to_json("vector"), 256)
+    named = written(vectors.select("author", "period", spelled.alias("digest")), "author-vectors")
+    unique = named.groupBy("period", "digest").agg(F.min("author").alias("first_author"))
+    placed = written(numbered(unique, ["period", "first_author"], "place"), "distinct-vectors")
+    starts = placed.groupBy("period").agg(F.min("place").alias("start"))  # one row per period asked for
+    ids = placed.join(F.broadcast(starts), "period").select(
+        "period", "digest", (F.col("place") - F.col("start") + 1).alias("position"))
+    small = broadcast_up_to(written(ids, "vector-ids"), MAX_BROADCAST_VECTORS)
+    return named.join(small, ["period", "digest"]).select("author", "period", "position")
+
+
 def vector_transition(
     weights: DataFrame, period: int, other: int, value: str = "weight"
 ) -> DataFrame:
-    """Where each author stands among the distinct vectors of two periods.
+    """Where each author stands among the distinct vectors of two periods: (author, start_id, end_id).
 
-    A distinct vector is named by the smallest author that has it in the
-    period.  The result has the authors present in both periods.
+    Positions as in ``vector_positions``.  The result has the authors present in both periods.
     """
-    both = weights.filter(F.col("period").isin(period, other))
-    vectors = written(term_vectors(both, ["author", "period"], value), "author-vectors")
-    unique = vectors.groupBy("period", "vector").agg(F.min("author").alias("vector_id"))
-    placed = vectors.join(unique, ["period", "vector"])
-    at = [F.max(F.when(F.col("period") == p, F.col("vector_id"))).alias(n) for p, n in ((period, "start_id"), (other, "end_id"))]
+    placed = vector_positions(weights, [period, other], value)
+    at = [F.max(F.when(F.col("period") == p, F.col("position"))).alias(n) for p, n in ((period, "start_id"), (other, "end_id"))]
     return placed.groupBy("author").agg(*at).filter("start_id is not null and end_id is not null")
