@@ -595,6 +595,39 @@ prim as (
   select p.step + 1, list_min(p.d), list_transform(list_zip(p.d, r.d), lambda z: case when z[1] is not null and z[2] is not null then least(z[1], z[2]) end)
   from prim p join reach_rows r on r.place = list_position(p.d, list_min(p.d)) where list_min(p.d) is not null)
 select count(weight) as n_edges, round(sum(weight), 6) as total, round(max(weight), 6) as longest from prim"""
+
+# Topics: the rounds written out one after the other.
+_K, _ROUNDS = 5, 3
+CTES["topic_terms_0"] = "select term, " + ", ".join(
+    f"cast(cast('0x' || substr(md5(term), {2 * t + 1}, 2) as int) as double) / 255 + 1 as p{t}" for t in range(_K)
+) + " from (select distinct term from a_counts)"
+CTES["topic_docs_0"] = "select doc_id, " + ", ".join(f"1.0 as m{t}" for t in range(_K)) + " from (select distinct doc_id from a_counts)"
+for _r in range(_ROUNDS):
+    _whole = " + ".join(f"p{t} * m{t}" for t in range(_K))
+    CTES[f"topic_shares_{_r + 1}"] = "select doc_id, term, " + ", ".join(
+        f"n * p{t} * m{t} / ({_whole}) as s{t}" for t in range(_K)
+    ) + f" from a_counts join topic_terms_{_r} using (term) join topic_docs_{_r} using (doc_id)"
+    CTES[f"topic_terms_{_r + 1}"] = "select term, " + ", ".join(
+        f"g{t} / sum(g{t}) over () as p{t}" for t in range(_K)
+    ) + " from (select term, " + ", ".join(f"sum(s{t}) + 0.01 as g{t}" for t in range(_K)) + f" from topic_shares_{_r + 1} group by term)"
+    CTES[f"topic_docs_{_r + 1}"] = "select doc_id, " + ", ".join(
+        f"(sum(s{t}) + 0.1) / (" + " + ".join(f"sum(s{u}) + 0.1" for u in range(_K)) + f") as m{t}" for t in range(_K)
+    ) + f" from topic_shares_{_r + 1} group by doc_id"
+CTES["betas"] = " union all ".join(f"select {t + 1} as topic, term, p{t} as beta from topic_terms_{_ROUNDS}" for t in range(_K))
+FINAL["lda_topics"] = """
+select topic, cast(rank() over (partition by topic order by beta desc) as int) as rank, term, beta
+from (select topic, term, round(beta, 9) as beta from {betas}) qualify rank <= 10"""
+FINAL["topic_mass"] = "select topic, count(*) as n_terms, round(sum(beta), 6) as mass from {betas} group by topic"
+CTES["source_counts"] = "select source as author, term, sum(n) as n from a_counts join (select doc_id, source from documents) using (doc_id) group by source, term"
+CTES["source_sizes"] = """
+select author, sum(n) as total, sqrt(sum(n * n) - sum(n) * sum(n) / (select count(distinct term) from source_counts)) as scale
+from source_counts group by author"""
+FINAL["pearson_distances"] = """
+select x.author, r.author as reference_id, round(1 - (coalesce(p.product, 0)
+    - x.total * r.total / (select count(distinct term) from {source_counts})) / (x.scale * r.scale), 6) as distance
+from {source_sizes} x join (select * from source_sizes order by author limit 3) r on true
+left join (select a.author, b.author as other, sum(a.n * b.n) as product from source_counts a join source_counts b using (term)
+  group by a.author, b.author) p on p.author = x.author and p.other = r.author"""
 CTES["event_weights"] = """
 select cast(user_id as varchar) as author, cast(floor((day(ts) - 1) / 2) + 1 as int) as period, event_type as term, count(*) as weight
 from events group by all"""

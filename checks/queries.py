@@ -818,10 +818,28 @@ def cluster_terms(spark, sf):
     return L.cluster_terms(X.texts(spark, sf), "author").select("cluster", "rank", "term", "total")
 
 
+@query
+def pearson_distances(spark, sf):
+    counts = written(W.descriptor_counts(X.texts(spark, sf), ["author"], stem=False), "counts")
+    first = [r["author"] for r in counts.select("author").distinct().orderBy("author").limit(3).collect()]
+    return rounded(L.pearson_distances(counts, "author", first), "distance")
+
+
+TOPICS, TOPIC_ROUNDS = 5, 3
+
+
+def _topics(spark, sf):
+    counts = W.descriptor_counts(X.texts(spark, sf), ["doc_id"], stem=False)
+    return written(L.topic_terms(counts, "doc_id", TOPICS, TOPIC_ROUNDS), "topics")
+
+
 @query
 def lda_topics(spark, sf):
-    tokens = X.texts(spark, sf).select(
-        F.filter(descriptor_tokens(F.col("content")), lambda w: (F.length(w) >= 3) & ~w.isin(descriptor_stop_words())).alias("tokens")
-    )
-    betas = L.topic_terms(tokens, k=5, rounds=5)
+    betas = _topics(spark, sf).withColumn("beta", F.round("beta", 9))
     return W.top_terms_with_ties(betas, 10, ["topic"]).select("topic", "rank", "term", "beta")
+
+
+@query
+def topic_mass(spark, sf):
+    mass = _topics(spark, sf).groupBy("topic").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("beta").alias("mass"))
+    return rounded(mass, "mass")

@@ -1,50 +1,70 @@
-"""Topics of documents and their leading terms; terms of clusters."""
+"""Topics of documents and their leading terms; terms of clusters.
 
-from __future__ import annotations
+Both work on the long table (document, term, n) with every term it holds: topics
+are tables that joins update round by round, and clusters under Pearson distance
+need only sums over the terms that two documents share, so nothing is widened to
+the vocabulary and no term is left out.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadstats.operators.terms import descriptor_counts, top_terms
-from threadstats.operators.vectors import centred_unit, distinct_rows, k_medoids
-from threadstats.storage import broadcast_up_to, written
+from threadstats.operators.similarity import vector_classes
+from threadstats.operators.terms import descriptor_counts, remove_sparse_terms, top_terms
+from threadstats.operators.vectors import MAX_REFERENCES
+from threadstats.storage import Rounds, broadcast_up_to, written
+
+# A term's weights in all topics travel as one row; two hex digits of its digest seed each topic.
+MAX_TOPICS = 16
+# Rows (a term or document and its topic weights) that may be broadcast: about 200 MB.
+MAX_BROADCAST_ROWS = 500_000
+
 
-# The topic-term matrix is k rows of this many columns, held by the driver.
-MAX_TOPIC_VOCABULARY = 100_000
-# Width of the dense author vectors that are clustered.
-MAX_MATRIX_TERMS = 5_000
+def _numbers(k: int, value) -> Column:
+    return F.array(*[value(t) for t in range(k)])
+
+
+def _first_guess(k: int) -> Column:
+    """A term's weight in each topic before the first round: 1 to 2, from the digits of its digest."""
+    digits = F.md5(F.col("term").cast("binary"))
+    return _numbers(k, lambda t: F.conv(F.substring(digits, 2 * t + 1, 2), 16, 10).cast("double") / 255 + 1)
 
 
 def topic_terms(
-    docs: DataFrame, k: int, vocabulary: int = MAX_TOPIC_VOCABULARY, rounds: int = 20, seed: int = 1,
-    tokens: str = "tokens",
+    counts: DataFrame, doc: str, k: int, rounds: int = 20, term_prior: float = 0.01, doc_prior: float = 0.1
 ) -> DataFrame:
-    """Fit topics on all documents and list (topic, term, beta) for the whole vocabulary.
+    """Fit topics on all documents and list (topic, term, beta) for all terms.
 
-    Every round reads every document.  A vocabulary beyond the limit raises
-    instead of losing terms; trim rare terms first (``terms.trim_vocabulary``).
+    Expectation and maximisation with priors: every round shares each (document, term, n)
+    among the topics by the document's mix and the topic's terms, and sums the shares by term
+    and by document.  Both are written tables that the next round joins; the driver holds k
+    sums.  The first guess depends on the terms alone, so reruns agree to rounding.
     """
-    if vocabulary > MAX_TOPIC_VOCABULARY:
-        raise ValueError(f"at most {MAX_TOPIC_VOCABULARY} terms")
-    counter = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocabulary + 1).fit(docs)
-    if len(counter.vocabulary) > vocabulary:
-        raise ValueError(f"more than {vocabulary} terms: trim the rare ones first")
-    # Every round of the fit reads all features, so they are written once.
-    features = written(counter.transform(docs).select("features"), "topic-features")
-    model = LDA(k=k, maxIter=rounds, seed=seed, subsamplingRate=1.0, featuresCol="features").fit(features)
-    topics = model.describeTopics(len(counter.vocabulary))
-    spark = docs.sparkSession
-    words = spark.createDataFrame(list(enumerate(counter.vocabulary)), "termIndex int, term string")
-    pairs = topics.select(
-        (F.col("topic") + 1).alias("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")
-    )
-    flat = pairs.select("topic", F.col("p.termIndices").alias("termIndex"), F.col("p.termWeights").alias("beta"))
-    # The vocabulary has at most MAX_TOPIC_VOCABULARY rows.
-    return flat.join(F.broadcast(words), "termIndex").select("topic", "term", "beta")
+    if not 1 <= k <= MAX_TOPICS:
+        raise ValueError(f"1 to {MAX_TOPICS} topics")
+    spark = counts.sparkSession
+    rows = written(counts.select(F.col(doc).alias("doc"), "term", F.col("n").cast("double").alias("n")), "topic-counts")
+    shares, terms, docs = (Rounds(spark, f"topic-{name}") for name in ("shares", "terms", "docs"))
+    names = [f"t{t}" for t in range(k)]
+    phi = terms.write(rows.select("term").distinct().select("term", _first_guess(k).alias("phi")))
+    theta = docs.write(rows.select("doc").distinct().select("doc", _numbers(k, lambda t: F.lit(1.0)).alias("theta")))
+    for _ in range(rounds):
+        joined = rows.join(broadcast_up_to(phi, MAX_BROADCAST_ROWS), "term").join(
+            broadcast_up_to(theta, MAX_BROADCAST_ROWS), "doc")
+        weights = joined.select("doc", "term", "n", F.zip_with("phi", "theta", lambda p, m: p * m).alias("w"))
+        whole = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+        shared = shares.write(weights.select(
+            "doc", "term", *[(F.col("n") * F.col("w")[t] / whole).alias(names[t]) for t in range(k)]))
+        summed = written(shared.groupBy("term").agg(*[(F.sum(c) + term_prior).alias(c) for c in names]), "topic-sums")
+        totals = summed.agg(*[F.sum(c) for c in names]).first()  # k numbers
+        phi = terms.write(summed.select("term", _numbers(k, lambda t: F.col(names[t]) / F.lit(totals[t])).alias("phi")))
+        mix = shared.groupBy("doc").agg(*[(F.sum(c) + doc_prior).alias(c) for c in names])
+        every = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+        theta = docs.write(mix.select("doc", _numbers(k, lambda t: F.col(names[t]) / every).alias("theta")))
+    flat = phi.select("term", F.posexplode("phi").alias("place", "beta"))
+    return flat.select((F.col("place") + 1).alias("topic"), "term", "beta")
 
 
 def term_share(counts: DataFrame, by: str) -> DataFrame:
@@ -56,37 +76,96 @@ def term_share(counts: DataFrame, by: str) -> DataFrame:
     )
 
 
-def author_matrix(counts: DataFrame, keys: Sequence[str], n_terms: int) -> DataFrame:
-    """Dense author vectors over the n most frequent terms, in rank order."""
-    if n_terms > MAX_MATRIX_TERMS:
-        raise ValueError(f"at most {MAX_MATRIX_TERMS} matrix terms")
-    totals = counts.groupBy("term").agg(F.sum("n").alias("total"))
-    top = totals.orderBy(F.desc("total"), "term").limit(n_terms)
-    ranked = broadcast_up_to(written(top.select(
-        "term", F.row_number().over(Window.orderBy(F.desc("total"), "term")).alias("rank")
-    ), "matrix-terms"), MAX_MATRIX_TERMS)
-    sparse = counts.join(ranked, "term").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", F.col("n").cast("double")))).alias("cells")
-    )
-    places = F.sequence(F.lit(1), F.lit(n_terms))
-    return sparse.select(
-        *keys, F.transform(places, lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias("vector")
-    )
+# --- clusters under Pearson distance ------------------------------------------------
 
 
-def cluster_terms(
-    docs: DataFrame, key: str, k: int = 2, n_terms: int = 500, n_top: int = 10
-) -> DataFrame:
-    """Leading terms of k clusters of documents under Pearson distance.
+def centred_sizes(counts: DataFrame, key: str) -> DataFrame:
+    """(key, total, scale): a document's sum over all terms, and the length of its centred vector.
 
-    Seeds are the k smallest keys among the distinct vectors.
+    Terms it lacks count as zeros; a document whose centred vector is zero has no direction
+    and is left out.
     """
-    counts = written(descriptor_counts(docs, [key]), "cluster-counts")
-    matrix = author_matrix(counts, [key], n_terms)
-    vectors = written(
-        distinct_rows(matrix.select(key, centred_unit(F.col("vector")).alias("vector")), key), "author-matrix"
-    )
-    clustered = k_medoids(vectors, vectors.orderBy(key).limit(k), key)
-    members = written(clustered.select(key, F.col("medoid_id").alias("cluster")), "members")
-    totals = counts.join(members, key).groupBy("cluster", "term").agg(F.sum("n").alias("total"))
+    n_terms = counts.agg(F.count_distinct("term").cast("double")).scalar()
+    sums = counts.groupBy(key).agg(F.sum(F.col("n").cast("double")).alias("total"),
+                                   F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    length = F.sqrt(F.greatest(F.col("squares") - F.col("total") * F.col("total") / n_terms, F.lit(0.0)))
+    return sums.withColumn("scale", length).filter(F.col("scale") > 1e-9 * F.sqrt("squares")).select(key, "total", "scale")
+
+
+def pearson_distances(counts: DataFrame, key: str, references: list) -> DataFrame:
+    """(key, reference_id, distance): 1 - correlation of every document with each reference document.
+
+    ``counts`` is a written table; ``references`` are keys, a bounded number.  Products come
+    from the terms shared; the means of both vectors, over all terms, are taken off afterwards.
+    """
+    if len(references) > MAX_REFERENCES:
+        raise ValueError(f"at most {MAX_REFERENCES} reference documents")
+    n_terms = counts.agg(F.count_distinct("term").cast("double")).scalar()
+    sizes = written(centred_sizes(counts, key), "centred-sizes")
+    wanted = sizes.filter(F.col(key).isin(references))
+    named = F.array(*[F.struct(F.lit(r[key]).alias("reference_id"), F.lit(r["total"]).alias("other_total"),
+                               F.lit(r["scale"]).alias("other_scale")) for r in wanted.orderBy(key).collect()])
+    theirs = counts.filter(F.col(key).isin(references)).select(
+        F.col(key).alias("reference_id"), "term", F.col("n").cast("double").alias("m"))
+    shared = counts.join(broadcast_up_to(written(theirs, "reference-terms"), MAX_BROADCAST_ROWS), "term")
+    products = shared.groupBy(key, "reference_id").agg(F.sum(F.col("n") * F.col("m")).alias("product"))
+    pairs = sizes.select(key, "total", "scale", F.explode(named).alias("r")).select(key, "total", "scale", "r.*")
+    joined = pairs.join(products, [key, "reference_id"], "left")
+    centred = F.coalesce("product", F.lit(0.0)) - F.col("total") * F.col("other_total") / n_terms
+    return joined.select(key, "reference_id", (1 - centred / (F.col("scale") * F.col("other_scale"))).alias("distance"))
+
+
+def _best_members(counts: DataFrame, sizes: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The member of each cluster with the least summed distance to the others: (medoid_id, best).
+
+    A member's correlations with its cluster sum to its product with the cluster's sum of
+    scaled rows, less its total times the cluster's sum of scaled means.
+    """
+    n_terms = counts.agg(F.count_distinct("term").cast("double")).scalar()
+    about = written(members.join(sizes, key), "members")
+    scaled = written(counts.join(about, key).select(key, "medoid_id", "term", F.col("n").cast("double").alias("n"), "scale"), "scaled")
+    sums = written(scaled.groupBy("medoid_id", "term").agg(F.sum(F.col("n") / F.col("scale")).alias("a")), "cluster-sums")
+    means = about.groupBy("medoid_id").agg(F.sum(F.col("total") / n_terms / F.col("scale")).alias("c"))
+    products = scaled.join(broadcast_up_to(sums, MAX_BROADCAST_ROWS), ["medoid_id", "term"]).groupBy(key).agg(
+        F.sum(F.col("n") * F.col("a")).alias("product"))
+    # One row per cluster.
+    valued = about.join(products, key).join(F.broadcast(means), "medoid_id")
+    agreement = (F.col("product") - F.col("c") * F.col("total")) / F.col("scale")
+    return valued.groupBy("medoid_id").agg(F.min_by(key, F.struct(-F.round(agreement, 9), key)).alias("best"))
+
+
+def pearson_medoids(counts: DataFrame, key: str, k: int) -> tuple[DataFrame, list]:
+    """(key, medoid_id) of every document under Pearson distance, and the medoids.
+
+    Starts from the k smallest keys and alternates assignment and the choice of medoids until
+    medoids come again.
+    """
+    counts = written(counts, "cluster-counts")
+    sizes = written(centred_sizes(counts, key), "centred-sizes")
+    medoids = [r[key] for r in sizes.select(key).orderBy(key).limit(k).collect()]
+    seen: set[frozenset] = set()
+    while True:
+        far = pearson_distances(counts, key, medoids)
+        members = written(far.groupBy(key).agg(
+            F.min_by("reference_id", F.struct(F.round("distance", 9), "reference_id")).alias("medoid_id")), "assigned")
+        if frozenset(medoids) in seen or not medoids:
+            return members, sorted(medoids)
+        seen.add(frozenset(medoids))
+        medoids = [r["best"] for r in _best_members(counts, sizes, members, key).collect()]  # k rows
+
+
+def cluster_terms(docs: DataFrame, key: str, k: int = 2, n_top: int = 10, sparsity: float | None = None) -> DataFrame:
+    """Leading terms of k clusters of documents under Pearson distance: (cluster, term, total, rank).
+
+    All terms count, or those that ``terms.remove_sparse_terms`` leaves.  Documents with equal
+    counts are clustered once.
+    """
+    counts = written(descriptor_counts(docs, [key]), "all-counts")
+    if sparsity is not None:
+        counts = written(remove_sparse_terms(counts, docs, [key], sparsity), "frequent-counts")
+    own = vector_classes(counts, key, "n").filter(F.col(key) == F.col("class_id")).select(key)
+    distinct = written(counts.join(written(own, "distinct-keys"), key, "left_semi"), "distinct-counts")
+    members, _ = pearson_medoids(distinct, key, k)
+    named = members.withColumnRenamed("medoid_id", "cluster")
+    totals = distinct.join(named, key).groupBy("cluster", "term").agg(F.sum("n").alias("total"))
     return top_terms(totals, n_top, ["cluster"], "total")
