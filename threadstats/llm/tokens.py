@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from threadstats.llm.shared import LOWER
+from threadstats.llm.shared import LOWER, words_of
 
 #: Words that a Python worker remembers before it starts anew.
 MEMO = 1_500_000
@@ -42,14 +42,15 @@ def by_word(path: str) -> bool:
 
 
 def lowered_words(text: bytes) -> list[bytes]:
-    """The words between ASCII white space, lower-cased as far as that can come before composing.
+    """The words between ASCII white space, with A-Z lower-cased as far as that can come before composing.
 
-    The library composes (NFC) before it lower-cases, and some letters compose only in lower
-    case: so words that hold anything but ASCII are left to it.
+    The library composes (NFC) before it lower-cases, and some letters compose with a mark only
+    in lower case.  Marks that compose with A-Z are U+0300 to U+036F, whose first byte is CC or
+    CD: in texts that hold such a byte, only pure ASCII words are lower-cased here.
     """
-    if text.isascii():
-        return text.lower().split()
-    return [word.lower() if word.isascii() else word for word in text.split()]
+    if b"\xcc" in text or b"\xcd" in text:
+        return [word.lower() if word.isascii() else word for word in text.split()]
+    return words_of(text)
 
 
 class Encoder:
@@ -125,7 +126,7 @@ class Encoder:
     def _plain(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
         """Which texts go word by word, and which are encoded whole.
 
-        ASCII words are lower-cased before the library sees them, so a special string counts in any case of A-Z.
+        Words are lower-cased before the library sees them, so a special string counts in any case of A-Z.
         """
         if self.words_alone:
             odd = [i for i, t in enumerate(texts) if any(s in t or s in t.translate(LOWER) for s in self.special)]
