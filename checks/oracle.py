@@ -89,6 +89,12 @@ FINAL["high_water_mark"] = "select strftime(max(ts), '%Y-%m-%d %H:%M:%S') as hig
 FINAL["dedup_latest"] = """
 select user_id, event_type, event_id, value from events
 qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"""
+FINAL["stream_latest"] = FINAL["dedup_latest"]
+FINAL["ingest_json_comments"] = """
+select cast(event_id as varchar) as comment_id, cast(user_id as varchar) as author, event_type as body, k as score,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') as published, case when k % 2 = 0 then '/r/' || k else 'NaN' end as permalink,
+  't3_' || (k % 7) as submission_id, 't1_' || k as parent_id
+from (select *, cast(regexp_extract(props, '[0-9]+') as int) as k from events)"""
 FINAL["materialize"] = "select event_type, count(*) as n from events group by event_type"
 FINAL["stream_ingest"] = "select event_id, user_id, event_type, value from events"
 
@@ -116,6 +122,16 @@ select date, row_number() over (order by date) as n, lead(date) over (order by d
  '2018-11-16','2018-11-26','2019-01-16','2019-03-15','2019-03-22','2019-03-30','2019-04-06']) as date) as date)"""
 FINAL["assign_period"] = """
 select event_id, d.date, cast(n as int) as period from {long_dates} d join {cuts} c on d.date >= c.date and d.date < c.until"""
+CTES["all_cuts"] = """
+select periods, date, row_number() over (partition by periods order by date) as n, lead(date) over (partition by periods order by date) as until
+from (select 15 as periods, date from cuts
+  union all select 3, cast(unnest(['2016-05-03', '2016-06-20', '2016-06-25', '2016-06-30']) as date)
+  union all select 7, cast(unnest(['2015-11-16', '2016-06-24', '2017-03-30', '2018-07-07', '2018-11-26', '2019-03-21', '2019-03-30', '2019-04-06']) as date)
+  union all select 16, cast(unnest(['2015-11-16', '2016-06-25', '2016-07-14', '2016-07-28', '2016-12-08', '2017-01-27', '2017-03-30',
+    '2017-06-20', '2018-07-09', '2018-09-22', '2018-11-16', '2018-11-26', '2019-01-16', '2019-03-15', '2019-03-22', '2019-03-30', '2019-04-06']) as date))"""
+FINAL["assign_period_counts"] = """
+select cast(periods as int) as periods, cast(n as int) as period, count(*) as n
+from {long_dates} d join {all_cuts} c on d.date >= c.date and d.date < c.until group by periods, c.n"""
 FINAL["assign_period_equal"] = """
 select event_id, date, cast(least((date - lo) * 7 // (hi - lo), 6) + 1 as int) as period
 from {long_dates}, (select min(date) as lo, max(date) as hi from long_dates)"""
@@ -250,6 +266,7 @@ qualify row_number() over (partition by {keys} order by n desc, next_label) = 1"
 
 
 FINAL["f1_descriptors"] = "select * from {f1}"
+FINAL["write_features"] = FINAL["f1_descriptors"]
 FINAL["f2_descriptors"] = "select * from {f2}"
 FINAL["thread_mix"] = "select submission_id, tc, round(pa, 6) as pa, round(pb, 6) as pb, round(pn, 6) as pn from {mix}"
 FINAL["f3_descriptors"] = "select * from {f3}"

@@ -168,6 +168,47 @@ def stream_ingest(spark, sf):
     return R.run_now(spark, once.select("event_id", "user_id", "event_type", "value"), R.append_to, "stream")
 
 
+@query
+def stream_latest(spark, sf):
+    """Every record comes twice, the older form later: the last one in the order of ``ts`` stays."""
+    schema = X.table(spark, sf, "events").schema
+    events = R.read_stream(spark, sf, schema, "parquet", pathGlobFilter="events.parquet")
+    target, checkpoint = scratch_path(spark, "latest"), scratch_path(spark, "latest-checkpoint")
+    R.keep_latest(events, ["user_id", "event_type"], ["ts", "event_id"], target, checkpoint).awaitTermination()
+    latest = R.latest_records(spark, target, ["user_id", "event_type"], ["ts", "event_id"])
+    return latest.select("user_id", "event_type", "event_id", "value")
+
+
+@query
+def ingest_json_comments(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    events = X.table(spark, sf, "events").select(F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("id"),
+        F.col("user_id").cast("string").alias("author"),
+        F.col("event_type").alias("body"),
+        k.alias("score"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_utc"),
+        F.when(k % 2 == 0, F.concat(F.lit("/r/"), k.cast("string"))).alias("permalink"),
+        F.concat(F.lit("t3_"), (k % 7).cast("string")).alias("link_id"),
+        F.concat(F.lit("t1_"), k.cast("string")).alias("parent_id"),
+    )).alias("record"))
+    rows = I.comment_records(I.from_json(events, "record", schemas.COMMENT_JSON))
+    return rows.select(
+        F.col("Comment ID").alias("comment_id"), F.col("Author").alias("author"), F.col("Body").alias("body"),
+        F.col("Score").alias("score"), F.date_format("Publish Date", SECOND).alias("published"),
+        F.col("Permalink").alias("permalink"), F.col("Submission ID").alias("submission_id"), F.col("Parent ID").alias("parent_id"),
+    )
+
+
+@query
+def write_features(spark, sf):
+    """Round trip of a feature table: written, and read again."""
+    path = scratch_path(spark, "features")
+    described = D.f1_descriptors(X.entries(spark, sf))
+    I.write_features(described, path)
+    return fractions_rounded(spark.read.parquet(path).select(*described.columns))
+
+
 # --- projections, filters, periods -----------------------------------------
 
 
@@ -241,6 +282,15 @@ def assign_period(spark, sf):
     return P.assign_period(_long_dates(spark, sf), 15)
 
 
+@query
+def assign_period_counts(spark, sf):
+    """All lists of periods: how many dates fall in each period of each."""
+    dates = _long_dates(spark, sf)
+    parts = [P.assign_period(dates, n).groupBy("period").agg(F.count(F.lit(1)).alias("n")).withColumn("periods", F.lit(n))
+             for n in (3, 7, 15, 16)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query
 def assign_period_equal(spark, sf):
     return P.assign_equal_periods(_long_dates(spark, sf), 7)

@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from threadstats.functions.columns import STANCE_SUFFIX, quartiles, spread
 from threadstats.operators import forest
 from threadstats.operators.terms import descriptor_vocabulary, descriptor_words, through
-from threadstats.storage import written
+from threadstats.storage import small_side, written
 
 GROUP = ["author", "period"]
 F0_WORDS = 100
 # The word table is joined by broadcast: one row per descriptor column.
 F0_MAX_WORDS = 10_000
+# Rows as wide as the words, one per period.
+MAX_BROADCAST_PERIODS = 1_000
 
 
 def _five(prefix: str) -> list[str]:
@@ -137,7 +139,7 @@ def f3_descriptors(entries: DataFrame, as_of_period: bool = False) -> DataFrame:
     """
     shares = [f"p{x}" for x in STANCE_SUFFIX.values()]
     joined = entries.groupBy("author", "submission_id").agg(F.min("period").alias("since"))
-    mixes = joined.join(thread_mix(entries), "submission_id")
+    mixes = joined.join(small_side(thread_mix(entries), "thread-mixes"), "submission_id")
     labels = author_labels(entries)
     if as_of_period:
         keys = GROUP
@@ -163,6 +165,7 @@ def f0_descriptors(
     if n_words > F0_MAX_WORDS:
         raise ValueError(f"at most {F0_MAX_WORDS} descriptor words")
     counts = written(descriptor_words(entries, GROUP), "word-counts")
+    # One row per rank, and there are at most F0_MAX_WORDS ranks.
     slots = F.broadcast(words.filter(F.col("rank") <= n_words).select("rank", "term"))
     vocabulary = descriptor_vocabulary(counts).join(slots, "term", "left").select(
         "word", F.coalesce("rank", F.lit(0)).alias("slot")
@@ -179,6 +182,7 @@ def f0_descriptors(
         *[F.count_if(F.col(f"`{i}`") > 0).alias(f"df{i}") for i in ranks[1:]],
     )
     length = sum((F.col(f"`{i}`") for i in ranks[1:]), F.col("`0`"))
+    per_period = small_side(per_period, "period-frequencies", MAX_BROADCAST_PERIODS)
     joined = wide.join(per_period, F.col("period") == F.col("in_period")).withColumn("doc_terms", length)
 
     def weight(i: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadstats.functions import columns as C
+from threadstats.storage import small_side
 
 
 def _text(name: str) -> Column:
@@ -74,7 +75,7 @@ def pooled_text_size(entries: DataFrame) -> DataFrame:
 
 def attach_stance(entries: DataFrame, stance: DataFrame) -> DataFrame:
     """Give every entry its author's stance in the entry's period."""
-    return entries.join(stance, ["author", "period"])
+    return entries.join(small_side(stance, "stances"), ["author", "period"])
 
 
 def attach_author_class(posts: DataFrame, author_probability: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def attach_author_class(posts: DataFrame, author_probability: DataFrame) -> Data
     classes = author_probability.select(
         "author", C.stance_code(F.col("leave_probability")).alias("prediction")
     )
-    return posts.join(classes, "author")
+    return posts.join(small_side(classes, "author-classes"), "author")
 
 
 def latest_by_id(records: DataFrame, ids: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadstats.functions.columns import STANCE_SUFFIX
-from threadstats.storage import Rounds, written
+from threadstats.storage import Rounds, small_side, written
 
 # 2^24 steps from an entry to its root; more means that parents form a cycle.
 MAX_ROUNDS = 24
@@ -41,7 +41,7 @@ def repair_orphans(entries: DataFrame) -> DataFrame:
     give the same parent.  They bypass the join and its shuffle.
     """
     asks = F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("submission_id"))
-    known = entries.select(F.col("entry_id").alias("known_id")).distinct()
+    known = small_side(entries.select(F.col("entry_id").alias("known_id")).distinct(), "known-entries")
     looked_up = entries.filter(asks).join(
         known, F.col("parent_id") == F.col("known_id"), "left"
     )

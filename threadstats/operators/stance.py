@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadstats.functions import columns as C
-from threadstats.operators.terms import model_counts, model_vocabulary, model_words, through
-from threadstats.storage import mark_complete, written
+from threadstats.operators.terms import STEM_MAP_BROADCAST_ROWS, model_counts, model_vocabulary, model_words
+from threadstats.storage import mark_complete, small_side, written
 
 REMAIN, LEAVE = 0, 1
 
@@ -82,16 +82,18 @@ def score(
     """
     keys, batch = list(keys), list(batch)
     counts = written(model_words(docs, keys, content), "word-counts")
-    # Words go straight to their likelihoods: one join, and no sum per stem.
-    known = through(counts, model_vocabulary(counts, stem).join(model, "term"))
+    # Everything about words is decided per batch and word; the counts are joined once.
+    words = counts.withColumnRenamed("term", "word").groupBy(*batch, "word").agg(F.sum("n").alias("n"))
+    vocabulary = model_vocabulary(counts, stem).join(model, "term").select(
+        "word", "term", (F.col("logp_remain") - F.col("logp_leave")).alias("odds"))
+    known = words.join(small_side(vocabulary, "vocabulary", STEM_MAP_BROADCAST_ROWS), "word")
     if min_total > 1:
-        # At most one row per batch and model term.
-        rare = known.groupBy(*batch, "term").agg(F.sum("n").alias("total")).filter(
-            F.col("total") < min_total
-        )
-        known = known.join(rare.drop("total"), [*batch, "term"], "left_anti")
-    odds = known.groupBy(*keys).agg(
-        F.sum(F.col("n") * (F.col("logp_remain") - F.col("logp_leave"))).alias("log_odds")
+        known = written(known, "known-words")
+        frequent = known.groupBy(*batch, "term").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_total)
+        known = known.join(small_side(frequent.drop("total"), "frequent-terms"), [*batch, "term"], "left_semi")
+    kept = small_side(known.select(*batch, "word", "odds"), "scoring-words", STEM_MAP_BROADCAST_ROWS)
+    odds = counts.withColumnRenamed("term", "word").join(kept, [*batch, "word"]).groupBy(*keys).agg(
+        F.sum(F.col("n") * F.col("odds")).alias("log_odds")
     )
 
     def prior_of(code: int):

@@ -15,7 +15,7 @@ from threadstats.functions import text as X
 from threadstats.functions.stem import with_stem
 from threadstats.functions.words import ENGLISH_STOP_WORDS, NEVER_LEADING
 from threadstats.operators.numbering import first_rows
-from threadstats.storage import broadcast_up_to, written
+from threadstats.storage import broadcast_up_to, small_side, written
 
 # A stem map of this many rows (two short strings each) stays near 200 MB.
 STEM_MAP_BROADCAST_ROWS = 2_000_000
@@ -157,9 +157,10 @@ def tf_idf(
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("doc_terms"))
     with_term = counts.groupBy(*batch, "term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.select(*keys).distinct().groupBy(*batch).agg(F.count(F.lit(1)).alias("n_docs"))
+    totals, with_term = small_side(totals, "document-totals"), small_side(with_term, "document-frequencies")
     weighted = counts.join(totals, list(keys)).join(with_term, [*batch, "term"])
     if batch:
-        weighted = weighted.join(n_docs, batch)
+        weighted = weighted.join(small_side(n_docs, "documents"), batch)
         all_docs = F.col("n_docs")
     else:
         all_docs = n_docs.scalar()
@@ -192,7 +193,7 @@ def remove_sparse_terms(
         .filter(F.col("df") > n_docs * F.lit(1.0 - sparsity))
         .select("term")
     )
-    return counts.join(frequent, "term", "left_semi")
+    return counts.join(small_side(frequent, "frequent-terms"), "term", "left_semi")
 
 
 def top_terms(

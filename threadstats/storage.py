@@ -12,10 +12,13 @@ Access to the session's context and file system is kept in this module.
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ class _Paths:
         self.paths: list[str] = []
 
 
-_OPEN: list[_Paths] = [_Paths()]  # the first one lasts as long as the driver
+_DRIVER = _Paths()  # lasts as long as the driver
+_OPEN: ContextVar[_Paths] = ContextVar("open scope", default=_DRIVER)  # each thread has its own
 
 
 def use_folder_if_unset(spark: SparkSession, folder: str) -> None:
@@ -50,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _own(spark: SparkSession, path: str, owner: _Paths) -> str:
-    if owner is _OPEN[0] and not owner.paths:
+    if owner is _DRIVER and not owner.paths:
         atexit.register(_leave, spark, owner)
     owner.paths.append(path)
     return path
@@ -58,7 +62,7 @@ def _own(spark: SparkSession, path: str, owner: _Paths) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted with the scope that is open."""
-    return _own(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", _OPEN[-1])
+    return _own(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", _OPEN.get())
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -67,8 +71,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def _leave(spark: SparkSession, owner: _Paths) -> None:
-    with suppress(Exception):  # a session that has ended can delete nothing
-        while owner.paths:
+    if spark.sparkContext._jsc is None:  # a session that has ended can delete nothing
+        if owner.paths:
+            print(f"{len(owner.paths)} intermediate tables stay, such as {owner.paths[0]}", file=sys.stderr)
+        return
+    while owner.paths:
+        with suppress(Py4JError, Py4JNetworkError):  # one that can't be deleted keeps none of the others
             delete(spark, owner.paths.pop())
 
 
@@ -78,18 +86,18 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]
 
     Yields ``keep(df, name)``, which writes a table that the scope around owns.
     """
-    outer, own = _OPEN[-1], _Paths()
+    outer, own = _OPEN.get(), _Paths()
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         path = _own(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", outer)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    _OPEN.append(own)
+    token = _OPEN.set(own)
     try:
         yield keep
     finally:
-        _OPEN.pop()
+        _OPEN.reset(token)
         _leave(spark, own)
 
 
@@ -155,6 +163,15 @@ def materialize(
     return spark.read.parquet(path)
 
 
+def small_side(table: DataFrame, name: str, max_rows: int = 500_000) -> DataFrame:
+    """The side of an n:1 join with one row per key: written, and broadcast if it is small.
+
+    If it is not, both sides are plain exchanges of written tables, so that adaptive
+    execution can split the rows of a key that very many rows of the other side share.
+    """
+    return broadcast_up_to(written(table, name), max_rows)
+
+
 def broadcast_up_to(table: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after a count has shown that the table fits.
 
