@@ -90,6 +90,7 @@ FINAL["dedup_latest"] = """
 select user_id, event_type, event_id, value from events
 qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"""
 FINAL["stream_latest"] = FINAL["dedup_latest"]
+FINAL["stream_latest_state"] = FINAL["dedup_latest"]
 FINAL["ingest_json_comments"] = """
 select cast(event_id as varchar) as comment_id, cast(user_id as varchar) as author, event_type as body, k as score,
   strftime(ts, '%Y-%m-%d %H:%M:%S') as published, case when k % 2 = 0 then '/r/' || k else 'NaN' end as permalink,

@@ -14,6 +14,7 @@ from checks import fixtures as X
 from threadstats import schemas
 from threadstats.functions import columns as C
 from threadstats.functions.text import descriptor_stop_words, descriptor_tokens
+from threadstats.operators import classifier as B
 from threadstats.operators import density as K
 from threadstats.operators import descriptors as D
 from threadstats.operators import entries as E
@@ -179,6 +180,20 @@ def stream_latest(spark, sf):
     return latest.select("user_id", "event_type", "event_id", "value")
 
 
+@query
+def stream_latest_state(spark, sf):
+    """As ``stream_latest``, but what is known of an id is kept as state: only changes of the latest record come out."""
+    schema = X.table(spark, sf, "events").schema
+    events = R.read_stream(spark, sf, schema, "parquet", pathGlobFilter="events.parquet")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    target, checkpoint = scratch_path(spark, "changes"), scratch_path(spark, "changes-checkpoint")
+    with R.rocksdb_state(spark):
+        changes = R.latest_changes(events, ["user_id", "event_type"], "ts", "event_id", "40 days")
+        R.append_changes(changes, target, checkpoint).awaitTermination()
+    latest = R.latest_records(spark, target, ["user_id", "event_type"], ["ts", "event_id"])
+    return latest.select("user_id", "event_type", "event_id", "value")
+
+
 @query
 def ingest_json_comments(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
@@ -502,6 +517,26 @@ def f3_training(spark, sf):
     return Z.f3_training(written(X.entries(spark, sf), "entries"), digits=DIGITS)
 
 
+def _described(spark, sf):
+    entries = written(X.entries(spark, sf), "entries")
+    return {"f1": D.f1_descriptors(entries), "f2": D.f2_descriptors(entries), "f3": D.f3_descriptors(entries, as_of_period=True)}
+
+
+@query
+def next_stance_classifier(spark, sf):
+    tables = [B.evaluate(described, name) for name, described in _described(spark, sf).items()]
+    return fractions_rounded(tables[0].unionByName(tables[1]).unionByName(tables[2]))
+
+
+@query
+def author_split(spark, sf):
+    """Labelled rows and authors on either side of the split."""
+    training, test = B.split_by_author(D.with_next_label(D.author_labels(X.entries(spark, sf))))
+    sides = training.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return sides.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("author").alias("n_authors"),
+                                     F.sum("next_label").alias("labels"))
+
+
 @query
 def majority_collapse(spark, sf):
     entries = X.entries(spark, sf)

@@ -4,7 +4,11 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from threadstats.operators import descriptors as D
+from threadstats.operators import entries as E
+from threadstats.operators import forest as G
 from threadstats.operators import stance as S
 from threadstats.operators import terms as W
 from threadstats.plans import datasets as Z
@@ -70,6 +74,7 @@ def test_results_do_not_depend_on_the_broadcast(spark, monkeypatch):
 
     broadcast = scores()
     monkeypatch.setattr(W, "STEM_MAP_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "STEM_MAP_BROADCAST_ROWS", 0)
     assert [a for a, _ in scores()] == [a for a, _ in broadcast]
     assert [p for _, p in scores()] == pytest.approx([p for _, p in broadcast])
 
@@ -78,3 +83,40 @@ def test_stop_words_need_no_join(spark):
     terms = spark.createDataFrame([("the",), ("ship",)], "term string")
     kept = W.remove_stop_words(terms, ["the"])
     assert "Join" not in plan_of(kept) and [r.term for r in kept.collect()] == ["ship"]
+
+
+@pytest.fixture
+def without_broadcast(spark, monkeypatch):
+    """Large tables in small: nothing is broadcast, and a partition above a few kilobytes is large."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    monkeypatch.setattr("threadstats.storage.broadcast_up_to", lambda table, rows: table)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _split(df):
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split(spark, without_broadcast):
+    n = 60_000
+    hot = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    rows = written(spark.range(n).repartition(8).select(
+        F.col("id").cast("string").alias("entry_id"), hot.alias("author"), hot.alias("parent_id"), hot.alias("term"),
+        F.lit("s").alias("submission_id"), F.lit(1).alias("period"), (F.col("id") % 50).alias("doc"), F.lit(1).cast("bigint").alias("n")), "hot")
+    stance = rows.groupBy("author", "period").agg(F.max("n").alias("stance"))
+    assert _split(E.attach_stance(rows, stance))
+    assert _split(E.attach_author_class(rows, rows.groupBy("author").agg(F.lit(0.5).alias("leave_probability"))))
+    assert _split(G.repair_orphans(rows))
+    one = rows.withColumn("doc", F.col("entry_id"))  # a row per document and term
+    assert _split(W.remove_sparse_terms(one, one, ["doc"], 0.9999))
+    assert _split(W.tf_idf(one, one, ["doc"]))

@@ -158,7 +158,8 @@ def tf_idf(
     with_term = counts.groupBy(*batch, "term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.select(*keys).distinct().groupBy(*batch).agg(F.count(F.lit(1)).alias("n_docs"))
     totals, with_term = small_side(totals, "document-totals"), small_side(with_term, "document-frequencies")
-    weighted = counts.join(totals, list(keys)).join(with_term, [*batch, "term"])
+    # Terms first: a common one is then split right where the counts are read.
+    weighted = counts.join(with_term, [*batch, "term"]).join(totals, list(keys))
     if batch:
         weighted = weighted.join(small_side(n_docs, "documents"), batch)
         all_docs = F.col("n_docs")
