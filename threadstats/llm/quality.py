@@ -6,8 +6,10 @@ learned gate gives each passage an attention weight within its document, and the
 weighted sum of the encodings is what the document's score looks at.  Encoding,
 gate and score are learned together from the labels of documents alone.
 
-Learning uses at most about ``per_class`` labelled documents of either class and
-``BAG`` passages of each, evenly spread over it; scoring reads every passage.
+Learning uses a sample of the labelled documents, every passage of each: about
+``per_class`` documents of either class, or fewer if they have more than
+``max_passages`` passages together (then each document's chance falls alike).
+Scoring reads every passage of every document.
 Without labels of both classes every score is the share of good labels (1 if
 there are none).  Null and empty texts are one empty passage.  Repeated rows are
 scored alike.  Extra columns are ignored.
@@ -20,14 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadstats.llm.shared import chunks, remainder, sampled_labels, texts
 from threadstats.storage import scope
 
 PASSAGE = 1024
-BAG = 16
 HIDDEN, GATE = 24, 12
 #: Byte classes: each printable ASCII byte, white space, other control bytes, lead and trail bytes beyond ASCII.
 CLASS = np.array([96 if b < 32 and b not in (9, 10, 11, 12, 13) else 95 if b <= 32 else b - 33 + 1 if b < 127
@@ -141,23 +142,32 @@ def _constant(share: float) -> Model:
             "d": np.array([odds])}
 
 
+def n_passages(text: Column) -> Column:
+    return F.greatest(F.ceil(F.octet_length(text) / PASSAGE), F.lit(1)).cast("bigint")
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = 3000,
-          modulus: int = 5, held: int = 0) -> Model:
-    """Learn from labelled documents whose crc32(doc_id) mod ``modulus`` is not ``held``."""
+          max_passages: int = 150_000, modulus: int = 5, held: int = 0) -> Model:
+    """Learn from labelled documents whose crc32(doc_id) mod ``modulus`` is not ``held``.
+
+    Both bounds say how many labelled documents are learned from; of those, nothing is left out.
+    """
     sample, weight = sampled_labels(labels, target, per_class, modulus, held)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=1 << 20):
             rows, counts = passages(batch.column("text").to_pylist())
-            first = np.cumsum(counts) - counts
-            picked = [rows[f + np.unique(np.linspace(0, n - 1, min(n, BAG)).astype(int))] for f, n in zip(first, counts)]
-            found = [r.astype(np.float32).tobytes() for r in picked]
+            found = [r.astype(np.float32).tobytes() for r in np.split(rows, np.cumsum(counts)[:-1])]
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())],
                                   ["doc_id", "label", "rows"])
 
     with scope(docs.sparkSession):
-        # About 2 x per_class documents, BAG passages each: the size is a parameter.
+        # About 2 x per_class documents and max_passages passages at most: the size is a parameter.
         labelled = texts(docs).join(F.broadcast(sample), "doc_id")
+        total = labelled.agg(F.sum(n_passages(F.col("text")))).first()[0] or 0
+        if total > max_passages:
+            chance = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+            labelled = labelled.filter(chance < max_passages / total)
         found = labelled.mapInArrow(bags, "doc_id bigint, label int, rows binary").toArrow().to_pandas().sort_values(
             "doc_id", kind="stable")
     y = found["label"].to_numpy().astype(np.float64)
