@@ -3,6 +3,12 @@
 ``run`` writes each stage's result as Parquet in the session's shared folder and
 reads it again as the next one's documents.  All stages but the last return the
 columns of ``documents``.
+
+Null and empty texts are judged like other texts (as empty ones).  Rows without an id
+are kept or dropped by their text alone and are packed; repeated rows are judged
+alike, and near-duplicates of each other, so one of them stays.  Extra columns pass
+through all stages but the last.  An empty table gives an empty result; without
+labels nothing is rejected.
 """
 
 from __future__ import annotations
