@@ -127,13 +127,13 @@ def test_top_clusters_share_label_one(spark):
 def test_topics_and_cluster_terms(spark):
     docs = [(f"d{i:02d}", ("cats purr softly " if i % 2 else "ships sail away ") * (3 + i)) for i in range(8)]
     df = spark.createDataFrame(docs, "author string, content string")
-    top = L.cluster_terms(df, "author", k=2, n_terms=6, n_top=3).collect()
+    top = L.cluster_terms(df, "author", k=2, n_top=3).collect()
     clusters = {}
     for r in top:
         clusters.setdefault(r.cluster, set()).add(r.term)
     assert sorted(map(sorted, clusters.values())) == [["away", "sail", "ship"], ["cat", "pur", "soft"]] or len(clusters) == 2
-    tokens = df.select(F.split("content", " ").alias("tokens"))
-    betas = L.topic_terms(tokens, k=2, vocabulary=50, rounds=3)
+    counts = df.select("author", F.explode(F.split("content", " ")).alias("term")).groupBy("author", "term").agg(F.count("*").alias("n"))
+    betas = L.topic_terms(counts, "author", k=2, rounds=3)
     assert betas.groupBy("topic").agg(F.sum("beta").alias("s")).filter("abs(s - 1) > 1e-6").count() == 0
 
 
