@@ -184,7 +184,12 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 10_000,
           max_grams: int = 3_000_000, modulus: int = 5, held: int = 0) -> Model:
-    """Learn from labelled documents whose crc32(doc_id) mod ``modulus`` is not ``held``."""
+    """Learn from labelled documents whose crc32(doc_id) mod ``modulus`` is not ``held``.
+
+    Both bounds limit the labelled documents: about ``per_class`` of either class, and fewer (each
+    document's chance falls alike) if they have more than ``max_grams`` different grams together.
+    Of the documents that stay every gram counts, however rare.
+    """
     sample, weight = sampled_labels(labels, target, per_class, modulus, held)
     empty = np.zeros(0, np.uint64)
     nothing = Model(empty, np.zeros(0, np.float32), empty, np.zeros(0, np.float32))
@@ -197,11 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
             share = float(1 in present)
             nothing.line = (0.0, 0.0, 0.0, 30.0 if share else -30.0)
             return nothing
-        counted = written(count_grams(labelled.filter("fold <> 0")), "grams")
-        least = 1
-        while counted.filter(F.col("n0") + F.col("n1") >= least).count() > max_grams:
-            least += 1
-        rows = counted.filter(F.col("n0") + F.col("n1") >= least).toArrow().sort_by("gram")
+        chance = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+        share = 1.0
+        while True:
+            counted = written(count_grams(labelled.filter((F.col("fold") != 0) & (chance < share))), "grams")
+            found = counted.count()
+            if found <= max_grams:
+                break
+            share *= 0.9 * max_grams / found
+        rows = counted.toArrow().sort_by("gram")
         if not rows.num_rows:
             nothing.line = (0.0, 0.0, 0.0, float(np.log(weight[1] * present[1] / (weight[0] * present[0]))))
             return nothing
