@@ -157,6 +157,9 @@ CTES["labels_next"] = """
 select a.author, a.period, a.current_label, b.current_label as next_label
 from labels_now a join labels_now b on a.author = b.author and b.period = a.period + 1"""
 FINAL["retained_authors"] = "select author, period from {labels_next}"
+FINAL["author_split"] = """
+select case when cast('0x' || substr(md5(author), 1, 7) as bigint) % 5 = 0 then 'test' else 'train' end as side,
+  count(*) as n_rows, count(distinct author) as n_authors, cast(sum(next_label) as bigint) as labels from {labels_next} group by side"""
 FINAL["next_stance"] = "select author, period, current_label, next_label from {labels_next}"
 
 # --- replies and threads ---------------------------------------------------------------
