@@ -29,6 +29,8 @@ LABELS = ("allow", "block")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Association rules that may be sent to every task.
 MAX_BROADCAST_RULES = 20_000
+#: Frequent tokens, with their names, that may be sent to every task.
+MAX_BROADCAST_TOKENS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -71,19 +73,50 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(known, F.array(F.lit("no host")))))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """(rule_id, items, rarest, verdict, confidence, support) from (tokens, label).
+def classes(baskets: DataFrame, least: float) -> DataFrame:
+    """(token, name) of the tokens in at least ``least`` of the written baskets (row, tokens).
+
+    Tokens that occur in the same baskets get one name, the first of them: n such tokens would
+    give 2^n combinations of equal support.  Sets of baskets are compared by their size and by
+    two 64-bit sums of their rows' hashes.
+    """
+    rows = baskets.select("row", F.explode("tokens").alias("token"))
+    marks = rows.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y"))
+    frequent = written(marks.filter(F.col("n") >= least), "frequent-tokens")
+    names = written(frequent.groupBy("n", "x", "y").agg(F.min("token").alias("name")), "token-classes")
+    return written(frequent.join(names, ["n", "x", "y"]).select("token", "name"), "named-tokens")
+
+
+def renamed(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """Add ``named`` to a table with a column ``tokens``: the sorted names of the tokens that have one."""
+    table = broadcast_up_to(names, MAX_BROADCAST_TOKENS)
+    keyed = sets.withColumn("set_id", F.monotonically_increasing_id())
+    keyed = written(keyed, "token-sets")
+    found = keyed.select("set_id", F.explode("tokens").alias("token")).join(table, "token").groupBy("set_id").agg(
+        F.array_sort(F.collect_set("name")).alias("named"))
+    none = F.array().cast("array<string>")
+    return keyed.join(found.hint("merge"), "set_id", "left").withColumn("named", F.coalesce("named", none)).drop("set_id")
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Rules (rule_id, items, rarest, verdict, confidence, support) from (tokens, label), and names of tokens.
+
+    Items are names (see ``classes``): a rule fits if a url has any token of each of its names,
+    which is what the rules of all these tokens together say.
 
     A rule goes if a shorter one with the same verdict is as sure: it could
     change no verdict's confidence.
     """
-    named = F.concat(F.lit("label="), F.col("label"))
-    baskets = written(labelled.filter(F.col("label").isin(*LABELS)).select(F.array_append("tokens", named).alias("items")),
-                      "baskets")
-    total = baskets.count()
+    known = labelled.filter(F.col("label").isin(*LABELS)).withColumn("row", F.monotonically_increasing_id())
+    known = written(known, "labelled")
+    total = known.count()
+    names = classes(known, min_support * total)
     if not total:
-        return baskets.sparkSession.createDataFrame(
-            [], "rule_id bigint, items array<string>, rarest string, verdict string, confidence double, support double")
+        return known.sparkSession.createDataFrame(
+            [], "rule_id bigint, items array<string>, rarest string, verdict string, confidence double, support double"), names
+    label = F.concat(F.lit("label="), F.col("label"))
+    baskets = written(renamed(known, names).select(F.array_append("named", label).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     verdict = F.element_at("consequent", 1)
     rules = model.associationRules.filter(verdict.isin(*["label=" + x for x in LABELS])).filter("lift > 1").select(
@@ -101,14 +134,14 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     needless = found.select("rule_id", "items", "verdict", "confidence", F.explode("items").alias("key")).join(
         shorter, "key").filter((F.col("verdict") == F.col("same")) & (F.col("sure") >= F.col("confidence"))
                                & (F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0))
-    return written(found.join(needless.select("rule_id").distinct(), "rule_id", "left_anti"), "mined")
+    return written(found.join(needless.select("rule_id").distinct(), "rule_id", "left_anti"), "mined"), names
 
 
-def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
+def matched(sets: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
     """(tokens, verdict) for the token sets that a rule fits."""
     rules = broadcast_up_to(rules, MAX_BROADCAST_RULES)
-    hits = sets.select("tokens", F.explode("tokens").alias("rarest")).join(rules, "rarest").filter(
-        F.size(F.array_except("items", "tokens")) == 0)
+    hits = renamed(sets.select("tokens"), names).select("tokens", "named", F.explode("named").alias("rarest")).join(
+        rules, "rarest").filter(F.size(F.array_except("items", "named")) == 0)
     best = F.struct(-F.col("confidence"), -F.size("items"), -F.col("support"), "verdict", "items")
     return hits.groupBy("tokens").agg(F.min_by("verdict", best).alias("verdict"))
 
@@ -128,9 +161,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], labels: DataFrame | None = No
             given_host, given_path = host_and_path(F.col("url"))
             labelled = labels.select("url", given_host.alias("host"), given_path.alias("path"), "label").select(
                 tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), "label")
-        mined = mine(labelled, min_support, min_confidence)
+        mined, names = mine(labelled, min_support, min_confidence)
         open_rows = rows.filter("listed is null")
-        judged = written(matched(open_rows.select("tokens").distinct(), mined), "judged")
+        judged = written(matched(open_rows.select("tokens").distinct(), mined, names), "judged")
         decided = rows.filter("listed is not null").select("page_id", "host", "path", "listed.rule", "listed.verdict")
         other = open_rows.join(judged.hint("merge"), "tokens", "left").select(
             "page_id", "host", "path", F.lit(None).cast("string").alias("rule"),
