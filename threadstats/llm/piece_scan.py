@@ -33,11 +33,13 @@ empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,6 +53,7 @@ UNKNOWN = 10.0
 CHUNK, BLOCK = 32_768, 64
 MEMO = 500_000  # words that a Python worker remembers
 MERGED_BYTES = 1 << 20  # of text that a task merges at once
+IDS = 200_000  # that a task decodes at once
 NEVER = -np.inf
 _BASE = np.uint64(0x100000001B3)
 
@@ -99,9 +102,21 @@ class Pieces:
         self.unknown = min((model.get_score(i) for i in plain), default=0.0) - UNKNOWN
         self.longest = max((len(self.text[i]) for i in plain), default=1)
         self.words_apart = not any(SPACE in self.text[i].lstrip(SPACE) for i in plain)
-        self.hashed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        file = fields(model.serialized_model_proto())
+        training, rule = fields(file.get(2, b"")), fields(file.get(3, b""))
+        self.merges = training.get(3, 1) == 2
+        # Words normalise to themselves, each begins with a space mark, and unknown characters are bytes.
+        self.merged_apart = (self.words_apart and SPACE in self.score and len(self.bytes) == 256 and not rule.get(2)
+                             and rule.get(3, 1) == 1 and rule.get(4, 1) == 0 and rule.get(5, 1) == 1 and not training.get(24))
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.best: dict[str, float] = {}
+
+    @cached_property
+    def hashed(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces by length: sorted hashes, scores, ids.  Only segmentation by scores needs them."""
+        found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in range(1, self.longest + 1):
-            own = [i for i in plain if len(self.text[i]) == length]
+            own = [i for score, i in self.score.values() if len(self.text[i]) == length]
             if own:
                 codes = np.array([[ord(c) for c in self.text[i]] for i in own], np.uint64)
                 key = np.zeros(len(own), np.uint64)
@@ -110,16 +125,9 @@ class Pieces:
                 order = np.argsort(key)
                 if len(np.unique(key)) < len(key):
                     raise ValueError("two pieces share a hash")
-                self.hashed[length] = (key[order], np.array([self.score[self.text[i]][0] for i in own])[order],
-                                       np.array(own, np.int64)[order])
-        file = fields(model.serialized_model_proto())
-        training, rule = fields(file.get(2, b"")), fields(file.get(3, b""))
-        self.merges = training.get(3, 1) == 2
-        # Words normalise to themselves, each begins with a space mark, and unknown characters are bytes.
-        self.merged_apart = (self.words_apart and SPACE in self.score and len(self.bytes) == 256 and not rule.get(2)
-                             and rule.get(3, 1) == 1 and rule.get(4, 1) == 0 and rule.get(5, 1) == 1 and not training.get(24))
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.best: dict[str, float] = {}
+                found[length] = (key[order], np.array([self.score[self.text[i]][0] for i in own])[order],
+                                 np.array(own, np.int64)[order])
+        return found
 
     # -- one word or stretch ------------------------------------------------------------------
 
@@ -535,14 +543,44 @@ def scan(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     return _split_texts(docs, path, chunk, False).union(_whole(chunk_ids))
 
 
+def of_size(batches: Iterator[pa.RecordBatch], size: int = IDS) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the ids of each number about ``size`` (a longer text is taken whole)."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, text) for every row of (doc_id, ids)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
-        for batch in batches:
+        for batch in of_size(batches):
             found = [None if ids is None else own.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(found, pa.string())],
                                   ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(each, "doc_id bigint, ids array<int>, text string")
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32, n_bytes, text_crc32): checksums of the ids and of the text that decoding gives back."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces(path)
+        for batch in of_size(batches):
+            rows = []
+            for ids in batch.column("ids").to_pylist():
+                text = own.decode(ids).encode()
+                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(text), zlib.crc32(text)))
+            yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*rows)]],
+                                  ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "text_crc32"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(
+        each, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint, text_crc32 bigint")

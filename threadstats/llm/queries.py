@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +38,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text: number and checksum of the ids, and of the bytes that decoding gives back."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.array(i, "<u4") for i in batch.column("ids").to_pylist()]
-            decoded = [t.encode() for t in batch.column("text").to_pylist()]
-            numbers = [[len(i) for i in ids], [zlib.crc32(i.tobytes()) for i in ids],
-                       [len(t) for t in decoded], [zlib.crc32(t) for t in decoded]]
-            yield pa.record_batch([batch.column("doc_id"), *[pa.array(n, pa.int64()) for n in numbers]],
-                                  ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "text_crc32"])
-
     with scope(spark) as keep:
-        decoded = piece_scan.decode(piece_scan.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
-        return keep(decoded.mapInArrow(
-            digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint, text_crc32 bigint"), "sentencepiece")
+        encoded = piece_scan.encode(table(spark, sf_dir, "documents"), PIECES)
+        return keep(piece_scan.digests(encoded, PIECES), "sentencepiece")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +95,8 @@ ORACLE_SQL = {
     "op10_embedding_dedup": """
 with recursive v as (
     select vec_id, embedding::double[] as e from embeddings
-    where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-      and len(list_filter(embedding, x -> x <> 0)) > 0),
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (
     select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
     where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.9),
@@ -127,10 +113,10 @@ from embeddings e
     "op13_hard_negatives": """
 with v as (
     select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-           list_transform(embedding, x -> floor(256 * x::double)) as x
+           list_transform(embedding, lambda x: floor(256 * x::double)) as x
     from embeddings
     where vec_id is not null and label is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scores as (
     select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
            cast(list_inner_product(a.x, b.x) as bigint) as score
