@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadstats.functions import columns as C
-from threadstats.operators.terms import STEM_MAP_BROADCAST_ROWS, model_counts, model_vocabulary, model_words
+from threadstats.functions.text import is_model_token, model_tokens
+from threadstats.operators.terms import STEM_MAP_BROADCAST_ROWS, model_counts, model_vocabulary
 from threadstats.storage import mark_complete, small_side, written
 
 REMAIN, LEAVE = 0, 1
@@ -81,20 +82,24 @@ def score(
     ``min_total=1`` scores with the fixed vocabulary, independent of the batch.
     """
     keys, batch = list(keys), list(batch)
-    counts = written(model_words(docs, keys, content), "word-counts")
-    # Everything about words is decided per batch and word; the counts are joined once.
-    words = counts.withColumnRenamed("term", "word").groupBy(*batch, "word").agg(F.sum("n").alias("n"))
-    vocabulary = model_vocabulary(counts, stem).join(model, "term").select(
+    # The texts are read twice, for the totals and for the sums, so that their words are never written.
+    tokens = docs.select(*keys, F.explode(model_tokens(F.col(content))).alias("word"))
+    totals = written(tokens.groupBy(*batch, "word").agg(F.count(F.lit(1)).alias("n")), "batch-words")
+    # Everything about words is decided per batch and word.
+    words = totals.filter(is_model_token(F.col("word")))
+    vocabulary = model_vocabulary(words.withColumnRenamed("word", "term"), stem).join(model, "term").select(
         "word", "term", (F.col("logp_remain") - F.col("logp_leave")).alias("odds"))
     known = words.join(small_side(vocabulary, "vocabulary", STEM_MAP_BROADCAST_ROWS), "word")
     if min_total > 1:
         known = written(known, "known-words")
         frequent = known.groupBy(*batch, "term").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_total)
         known = known.join(small_side(frequent.drop("total"), "frequent-terms"), [*batch, "term"], "left_semi")
-    kept = small_side(known.select(*batch, "word", "odds"), "scoring-words", STEM_MAP_BROADCAST_ROWS)
-    odds = counts.withColumnRenamed("term", "word").join(kept, [*batch, "word"]).groupBy(*keys).agg(
-        F.sum(F.col("n") * F.col("odds")).alias("log_odds")
-    )
+    kept = written(known.select(*batch, "word", "odds"), "scoring-words")
+    if kept.count() <= STEM_MAP_BROADCAST_ROWS:
+        counts, kept = tokens.withColumn("n", F.lit(1)), F.broadcast(kept)
+    else:  # both sides are moved, so words are counted first
+        counts = written(tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    odds = counts.join(kept, [*batch, "word"]).groupBy(*keys).agg(F.sum(F.col("n") * F.col("odds")).alias("log_odds"))
 
     def prior_of(code: int):
         return F.coalesce(prior.filter(F.col("class") == code).select("logp").scalar(), F.lit(0.0))
