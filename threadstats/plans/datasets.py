@@ -40,11 +40,12 @@ def annotated_entries(
 ) -> DataFrame:
     """Entries with their author's stance and a repaired parent.
 
-    The stance join and the orphan repair move narrow rows only; texts, if
-    wanted, are joined back once at the end.
+    The stance join and the orphan repair move narrow rows only, which are
+    written; texts are read where they lie, and if wanted, joined back once at
+    the end.
     """
     stance = author_stance(entries, model, prior, **options)
-    narrow = attach_stance(repair_orphans(entries.drop("content")), stance)
+    narrow = attach_stance(repair_orphans(written(entries.drop("content"), "narrow-entries")), stance)
     if keep_content:
         return narrow.join(entries.select("entry_id", "content"), "entry_id")
     return narrow
