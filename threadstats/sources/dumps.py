@@ -29,9 +29,10 @@ def read_comments(spark: SparkSession, path: str, formats: Sequence[str] = DATE_
     return clean_comments(raw, formats)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV that the readers above give back unchanged."""
-    df.write.mode(mode).option("emptyValue", "").options(header=True, escape='"', encoding="UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    """CSV that the readers above give back unchanged; files with line breaks in fields can't be split, packed or not."""
+    df.write.mode(mode).option("emptyValue", "").options(
+        header=True, escape='"', encoding="UTF-8", compression=compression).csv(path)
 
 
 def write_features(df: DataFrame, path: str, csv: bool = False, partition_by: Sequence[str] = ()) -> None:
