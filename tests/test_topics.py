@@ -79,3 +79,32 @@ def test_clusters_name_their_leading_terms(spark):
     top = L.cluster_terms(frame, "author", k=2, n_top=3).collect()
     assert len({r["cluster"] for r in top}) == 2
     assert any("appl" in r["term"] for r in top)
+
+
+@pytest.mark.parametrize("held", [0, 2])
+def test_topics_do_not_depend_on_the_broadcast(spark, monkeypatch, held):
+    rows = [(d, t, 1 + (d * i) % 3) for d in range(6) for i, t in enumerate(["ship", "sail", "cat", "purr", "oak"]) if (d + i) % 2]
+    counts = spark.createDataFrame([*rows, (None, "ship", 2)], "doc int, term string, n long")
+
+    def fitted():
+        return {(r.topic, r.term): r.beta for r in L.topic_terms(counts, "doc", 2, 3).collect()}
+
+    broadcast = fitted()
+    monkeypatch.setattr(L, "MAX_BROADCAST_ROWS", held)
+    assert fitted() == pytest.approx(broadcast)
+
+
+def test_topics_write_no_shares(spark, monkeypatch):
+    counts = spark.createDataFrame([(1, "ship", 2), (1, "sail", 1), (2, "cat", 1)], "doc int, term string, n long")
+    shares = []
+    write = L.Rounds.write
+
+    def noted(self, df):
+        table = write(self, df)
+        if {"doc", "term"} <= set(table.columns):
+            shares.append(table.filter("doc is not null and term is not null").count())
+        return table
+
+    monkeypatch.setattr(L.Rounds, "write", noted)
+    L.topic_terms(counts, "doc", 2, 1).collect()
+    assert not any(shares)
