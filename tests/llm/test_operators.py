@@ -299,6 +299,13 @@ def test_ids_of_a_merge_model_are_the_library_s(spark):
     assert {r["doc_id"]: r["ids"] for r in piece_scan.encode(df, queries.PIECES, chunk=40).collect()} == wanted
 
 
+def test_a_merge_cuts_texts_by_their_length_as_given(spark):
+    texts_ = [*_texts(6), " " * 90, "word " * 7, "\u00bd" * 30, "\u00bd " * 50, "\ufdfa" * 40, "\ufdfa" * 41]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string").coalesce(2)
+    wanted = {i: piece_scan.pieces(queries.PIECES).model.encode(t or "") for i, t in enumerate(texts_)}
+    assert {r["doc_id"]: r["ids"] for r in piece_scan.encode(df, queries.PIECES, chunk=40).collect()} == wanted
+
+
 def test_the_scan_keeps_texts_about_as_long_as_a_chunk(spark):
     rows = [(n, ("word" * 20)[:n]) for n in (39, 40, 41)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)

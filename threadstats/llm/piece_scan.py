@@ -98,6 +98,7 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         plain = [i for i in ids if not (model.is_byte(i) or model.is_unknown(i) or model.is_control(i) or model.is_unused(i))]
         self.unknown_id = model.unk_id()
+        self.not_text = {*self.byte_of, self.unknown_id}
         self.score = {self.text[i]: (model.get_score(i) + tie(i), i) for i in plain}
         self.unknown = min((model.get_score(i) for i in plain), default=0.0) - UNKNOWN
         self.longest = max((len(self.text[i]) for i in plain), default=1)
@@ -280,6 +281,9 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces, bytes put together, space marks as spaces, without the leading space."""
+        if self.not_text.isdisjoint(ids):
+            text = "".join([self.text[i] for i in ids]).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -429,7 +433,7 @@ def merge(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         own = pieces(path)
         for batch in chunks(batches, size=MERGED_BYTES):
             plain = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            keep = [k for k, t in enumerate(plain) if not own.merged_apart or len(own.model.normalize(t)) <= chunk]
+            keep = [k for k, t in enumerate(plain) if not own.merged_apart or len(t) <= chunk]
             found = own.model.encode([plain[k] for k in keep], num_threads=1)
             yield pa.record_batch([batch.column("doc_id").take(pa.array(keep, pa.int64())),
                                    pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -439,10 +443,9 @@ def merge(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         for batch in chunks(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 row += 1
-                normal = own.normal(text)
-                if len(normal) <= chunk:
+                if len(text.decode("utf-8", "replace")) <= chunk:  # as given: normalising every text would take longer than cutting
                     continue
-                parts = own.stretches(normal, chunk)
+                parts = own.stretches(own.normal(text), chunk)
                 for k in range(0, len(parts), 64):
                     part = parts[k:k + 64]
                     yield pa.record_batch([
@@ -460,7 +463,8 @@ def merge(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     found = texts(docs).mapInArrow(short, "doc_id bigint, ids array<int>")
     if not pieces(path).merged_apart:
         return found
-    parts = written(texts(docs).mapInArrow(cut, "row_id bigint, doc_id bigint, chunk int, piece_text string")
+    long_ = texts(docs).filter(F.octet_length("text") > chunk)  # no shorter text has more characters
+    parts = written(long_.mapInArrow(cut, "row_id bigint, doc_id bigint, chunk int, piece_text string")
                     .repartition("row_id", "chunk"), "stretches")
     return found.union(_whole(parts.mapInArrow(ids_of, "row_id bigint, doc_id bigint, chunk int, ids array<int>")))
 
@@ -575,10 +579,11 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in of_size(batches):
-            rows = []
-            for ids in batch.column("ids").to_pylist():
-                text = own.decode(ids).encode()
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(text), zlib.crc32(text)))
+            rows, flat = [], batch.column("ids").flatten().to_numpy().astype("<u4")
+            ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(), dtype=np.int64)
+            for ids in np.split(flat, ends[:-1]):
+                text = own.decode(ids.tolist()).encode()
+                rows.append((len(ids), zlib.crc32(ids), len(text), zlib.crc32(text)))
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*rows)]],
                                   ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "text_crc32"])
 
