@@ -225,6 +225,29 @@ def test_lm_probabilities_sum_to_one():
     assert 0 < 10 ** first + (10 ** ones).sum() <= 1
 
 
+def test_lm_first_weights_are_fitted_on_every_bit_of_the_training_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    long_ = " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(40_000))  # 296 KB
+    rows = list(enumerate(_texts()))
+    rows += [(None, long_), rows[8]]
+    seen, fit = [], lm_scoring._fit_weights
+
+    def spy(model, cells, counts):
+        fit(model, cells, counts)
+        seen.append((model, cells, counts))
+
+    monkeypatch.setattr(lm_scoring, "_fit_weights", spy)
+    lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    (model, cells, counts), = seen
+    trained = [(t or "").encode() for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    assert long_.encode() in trained
+    flat, begin, end = lm_scoring.joined(trained)
+    inside = np.concatenate([np.arange(b, e) for b, e in zip(begin, end)])
+    assert counts.sum() == model.code_length[flat[inside]].sum()
+    ones = sum(int(model.bits[s:s + k].sum()) for s, k in zip(model.code_start[flat[inside]], model.code_length[flat[inside]]))
+    assert counts[cells % 2 == 1].sum() == ones
+
+
 def test_token_counts_are_the_library_s_and_cached(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 

@@ -5,7 +5,8 @@ path of a Huffman tree of the training bytes, and every decision is one bit.
 Several predictors give the bit's odds from hashed contexts of the bytes before
 it, counted over all training texts.  They are combined in the logistic domain
 by weights that a gate picks (how often the longest context was seen at this
-decision); the weights are refined online: after every ``STEP`` bits they take a
+decision), first fitted on every bit of the training texts, whose odds are rounded
+to ``LEVELS`` levels and counted; the weights are refined online: after every ``STEP`` bits they take a
 gradient step, for each stretch of ``SEGMENT`` bytes anew, so that stretches are
 coded side by side.  The sum of the bits' logs is the text's log probability; divided
 by its bytes it gives bits per byte.
@@ -24,8 +25,8 @@ texts N and V are zero, every word is unknown, and the odds are even.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from itertools import count as counter
 
 import numpy as np
@@ -46,10 +47,15 @@ SEGMENT, LANES, STEP = 1024, 512, 8
 BLOCK_BYTES = 4 << 20
 COUNT_BYTES = 1 << 20
 RATE = 0.004
+#: Steps whose bits are laid side by side at once.
+AHEAD = 16
 GATES = 6
 #: Lower-cases A-Z; the byte 0, which ends a text, is 1 within one.
 PLAIN = b"\1" + LOWER[1:]
-TUNING_BYTES = 1 << 18  # training bytes on which the gates' first weights are fitted
+#: Levels of odds on which the gates' first weights are fitted, and bytes whose bits a task counts at once.
+LEVELS, LEVEL_BYTES = 32, 1 << 18
+#: Slots of the hashed contexts that are shuffled as one row.
+SLOTS = 4096
 
 
 @dataclass
@@ -94,22 +100,37 @@ def count_contexts(training: DataFrame) -> DataFrame:
         total = np.zeros(FLAT, np.int32)
         for batch in chunks(batches, size=COUNT_BYTES):
             flat, begin, end = joined(batch.column("text").to_pylist())
-            inside = np.zeros(len(flat) + 1, np.int8)
-            inside[begin] += 1
-            inside[end] -= 1
-            inside = np.flatnonzero(np.cumsum(inside[:-1]))
+            inside = np.flatnonzero(_inside(len(flat), begin, end))
             base, byte = 0, flat[inside]
             for key, bits in zip(contexts(flat), TABLE_BITS):
-                slots = key[inside] << 8
+                slots = (key[inside] << 8).astype(np.int64)
                 slots |= byte
-                np.add.at(total[base:base + (256 << bits)], slots, 1)  # in place: a count of its own would be as large as the table
+                # In place: a count of its own would be as large as the table; a one of the table's type is added fastest.
+                np.add.at(total[base:base + (256 << bits)], slots, np.int32(1))
                 base += 256 << bits
         for low in range(0, FLAT, 1 << 18):
-            part = low + np.flatnonzero(total[low:low + (1 << 18)])
-            if len(part):
-                yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["slot", "n"])
-
-    return training.mapInArrow(each, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+            part = np.flatnonzero(total[low:low + (1 << 18)])
+            ends = np.searchsorted(part, np.arange(0, (1 << 18) + 1, SLOTS))
+            own = np.flatnonzero(np.diff(ends))
+            if len(own):
+                ends = pa.array(np.append(ends[own], len(part)).astype(np.int32))
+                yield pa.record_batch(
+                    [pa.array((low // SLOTS + own).astype(np.int32)),
+                     pa.ListArray.from_arrays(ends, pa.array((part % SLOTS).astype(np.int16))),
+                     pa.ListArray.from_arrays(ends, pa.array(total[low + part]))], ["part", "at", "n"])
+
+    # Many slots a row, so that little is shuffled; a part's rows then lie together.
+    packed = training.mapInArrow(each, "part int, at array<smallint>, n array<int>").repartition("part")
+    single = packed.select("part", F.explode(F.arrays_zip("at", "n")).alias("s")).groupBy("part", "s.at").agg(F.sum("s.n").alias("n"))
+    return single.select((F.col("part") * SLOTS + F.col("at")).cast("int").alias("slot"), "n")
+
+
+def _inside(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """1 for every byte of the stretches [begin, end), which are apart or follow each other; 0 for the others."""
+    inside = np.zeros(size + 1, np.int8)
+    inside[begin] += 1
+    inside[end] -= 1
+    return np.cumsum(inside[:-1], dtype=np.int8)
 
 
 # -- the model ---------------------------------------------------------------------------------
@@ -142,8 +163,8 @@ def decision_keys(contexts_: np.ndarray) -> np.ndarray:
     return (contexts_.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - SLOT_BITS)).astype(np.int32)
 
 
-def build(slots: np.ndarray, counts: np.ndarray, sample: list[bytes]) -> Model:
-    """The model from the counts of filled slots; ``sample``: training texts to fit the first weights on."""
+def build(slots: np.ndarray, counts: np.ndarray, training: DataFrame | Sequence[bytes] = ()) -> Model:
+    """The model from the counts of filled slots; ``training``: a table (text) to fit the first weights on, else they are even."""
     order = np.argsort(slots)
     slots, counts = slots[order], counts[order].astype(np.float32)
     bytes_ = np.bincount(slots & 255, counts, 256) / len(ORDERS)
@@ -172,8 +193,9 @@ def build(slots: np.ndarray, counts: np.ndarray, sample: list[bytes]) -> Model:
         base += 256 << bits
     model.seen = _gate(n[-1])
     model.weights[:] = 0.4
-    if sample:
-        _fit_weights(model, sample, n1, n)
+    if isinstance(training, DataFrame):
+        cells = count_cells(training, replace(model, odds=_levels(n1, n), seen=model.seen[:0])).toArrow()  # a row per cell at most
+        _fit_weights(model, cells.column("cell").to_numpy(), cells.column("n").to_numpy())
     return model
 
 
@@ -183,7 +205,7 @@ def _gate(n: np.ndarray) -> np.ndarray:
 
 def _events(model: Model, flat: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For every bit of the bytes ``own``: its slot for each order, its value, and the bits up to each byte's end."""
-    size = model.code_length[flat] * own
+    size = model.code_length[flat] * own  # own: 1 or 0 for each byte
     ends = np.cumsum(size)
     code = np.repeat((model.code_start[flat] - (ends - size)).astype(np.int32), size)
     code += np.arange(len(code), dtype=np.int32)
@@ -196,32 +218,81 @@ def _events(model: Model, flat: np.ndarray, own: np.ndarray) -> tuple[list[np.nd
     return slots, model.bits[code], ends
 
 
-def _fit_weights(model: Model, sample: list[bytes], n1: list[np.ndarray], n: list[np.ndarray]) -> None:
-    """Logistic regression per gate; the sampled bit itself is taken out of the counts it is judged by."""
-    flat, begin, end = joined(sample)
-    own = np.zeros(len(flat) + 1, np.int64)
-    own[begin], own[end] = 1, own[end] - 1
-    slots, bits, _ = _events(model, flat, np.cumsum(own[:-1]))
-    odds = []
-    for slot, right, total in zip(slots, n1, n):
-        r, t = right[slot] - bits, total[slot] - 1
-        odds.append(np.log((np.maximum(r, 0) + 0.3) / (np.maximum(t - r, 0) + 0.3)))
-    gate = _gate(np.maximum(n[-1][slots[-1]] - 1, 0))
+def _level_odds() -> np.ndarray:
+    """The odds of each level: close to each other around zero, where most bits are decided, wider apart at the ends."""
+    return 2.3 * np.sinh((np.arange(LEVELS) - (LEVELS - 1) / 2) / 6)
+
+
+def _levels(n1: list[np.ndarray], n: list[np.ndarray]) -> list[np.ndarray]:
+    """Per order the level of slot * 2 + bit, the bit itself taken out of the counts it is judged by; the last one also tells the gate."""
+    odds = _level_odds()
+    between = (odds[1:] + odds[:-1]) / 2
+    out = []
+    for right, total in zip(n1, n):
+        level = np.empty(2 * len(total), np.uint8)
+        for bit in (0, 1):
+            r, t = right - bit, total - 1
+            level[bit::2] = np.searchsorted(between, np.log((np.maximum(r, 0) + 0.3) / (np.maximum(t - r, 0) + 0.3)))
+        out.append(level)
+    out[-1] += np.repeat(_gate(np.maximum(n[-1] - 1, 0)) * np.uint8(LEVELS), 2)
+    return out
+
+
+def count_cells(training: DataFrame, model: Model) -> DataFrame:
+    """(cell, n): how often bits of the texts have a gate, levels of odds and a value; ``model.odds`` are the ``_levels``."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = shared.value, np.zeros(2 * GATES * LEVELS ** len(ORDERS), np.int64)
+        for batch in chunks(batches, size=COUNT_BYTES):
+            flat, begin, end = joined(batch.column("text").to_pylist())
+            inside = _inside(len(flat), begin, end)
+            for low in range(0, len(flat), LEVEL_BYTES):
+                first = max(low - ORDERS[-1], 0)  # bytes before, as context only
+                counted = inside[first:low + LEVEL_BYTES].astype(np.int64)
+                counted[:low - first] = 0
+                slots, bits, _ = _events(own, flat[first:low + LEVEL_BYTES], counted)
+                cell = np.zeros(len(bits), np.int32)
+                for level, slot in zip(own.odds[::-1], slots[::-1]):
+                    slot <<= 1
+                    slot |= bits
+                    cell *= LEVELS
+                    cell += level.take(slot)
+                cell <<= 1
+                cell |= bits
+                total += np.bincount(cell, minlength=len(total))
+        found = np.flatnonzero(total)
+        if len(found):
+            yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(total[found])], ["cell", "n"])
+
+    return training.select("text").mapInArrow(each, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _fit_weights(model: Model, cells: np.ndarray, counts: np.ndarray) -> None:
+    """Logistic regression per gate over all counted bits."""
+    order = np.argsort(cells)
+    cells, counts, odds = cells[order].astype(np.int64), counts[order].astype(np.float64), _level_odds()
+    bits, rest = cells & 1, cells >> 1
+    levels = []
+    for _ in ORDERS:
+        levels.append(odds[rest % LEVELS])
+        rest = rest // LEVELS
     for g in range(GATES):
-        own = gate == g
-        if own.sum() < 1000:
+        own = rest == g
+        times = counts[own]
+        if times.sum() < 1000:
             continue
-        x, y = np.stack([o[own] for o in odds], 1).astype(np.float64), bits[own] * 2.0 - 1
-        curb = 1e-3 * len(y)  # towards the starting weights
+        x, y = np.stack([o[own] for o in levels], 1), bits[own] * 2.0 - 1
+        curb = 1e-3 * times.sum()  # towards the starting weights
 
         def cost(w: np.ndarray) -> float:
-            return float(np.logaddexp(0, -y * (x @ w)).sum() + curb * ((w - 0.4) ** 2).sum() / 2)
+            return float((times * np.logaddexp(0, -y * (x @ w))).sum() + curb * ((w - 0.4) ** 2).sum() / 2)
 
         w, now = model.weights[g].copy(), cost(model.weights[g])
         for _ in range(12):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            curve = (x * (p * (1 - p))[:, None]).T @ x + curb * np.eye(len(w))
-            step = np.linalg.solve(curve, x.T @ ((y > 0) - p) - curb * (w - 0.4))
+            curve = (x * (times * p * (1 - p))[:, None]).T @ x + curb * np.eye(len(w))
+            step = np.linalg.solve(curve, x.T @ (times * ((y > 0) - p)) - curb * (w - 0.4))
             while np.abs(step).max() > 1e-4 and cost(w + step) > now:
                 step = step / 2
             if np.abs(step).max() <= 1e-4:
@@ -261,24 +332,21 @@ def _code(model: Model, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     The odds of all bits are looked up at once; then ``STEP`` bits of every
     stretch are coded with its present weights, which then take their step.
     """
-    own = np.zeros(len(flat) + 1, np.int64)
-    own[begin] += 1
-    own[end] -= 1
-    slots, bits, ends = _events(model, flat, np.cumsum(own[:-1]))
+    slots, bits, ends = _events(model, flat, _inside(len(flat), begin, end).astype(np.int64))
     total = len(bits)
-    # One bit more, certain and without odds, fills up the last steps of a stretch.
-    sign = np.append(bits * 2 - 1, 1).astype(np.float32)
-    gate, base = model.seen.take(slots[-1]), np.zeros(total + 1, np.float32)
+    sign = (bits * 2 - 1).astype(np.float32)  # odds are those of the bit that came
+    wide = AHEAD * STEP
+    gate, base = model.seen.take(slots[-1]), np.zeros(total + wide, np.float32)
     odds = []
     for k, slot in enumerate(slots):
-        value = np.zeros(total + 1, np.float32)
+        value = np.zeros(total + wide, np.float32)
         model.odds[k].take(slot, out=value[:total], mode="clip")
+        value[:total] *= sign
         weighted = model.weights[:, k].astype(np.float32).take(gate)
         weighted *= value[:total]
         base[:total] += weighted
         odds.append(value)
-    base[total] = LIMIT
-    del slots, gate, bits, weighted
+    del slots, gate, bits, sign, weighted
     first = ends[begin - 1]
     n_bits = ends[end - 1] - first
     order = np.argsort(-n_bits, kind="stable")
@@ -286,24 +354,27 @@ def _code(model: Model, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     lanes, steps = len(order), -(-n_bits // STEP)
     deltas = [np.zeros(lanes, np.float32) for _ in odds]
     product, loss = np.ones(lanes), np.zeros(lanes)
-    ahead = np.arange(STEP)[:, None]
+    windows = [np.lib.stride_tricks.sliding_window_view(v, wide) for v in (base, *odds)]
     active = lanes - np.searchsorted(steps[::-1], np.arange(int(steps[0])), side="right")
     for step, n in enumerate(active.tolist()):
-        at = ahead + (first[:n] + step * STEP)[None, :]
-        if step >= steps[n - 1] - 1:  # some stretch ends within this step
-            at[at >= (first + n_bits)[None, :n]] = total
-        x, s = base.take(at), sign.take(at)
-        values = [value.take(at) for value in odds]
+        if step % AHEAD == 0:  # the next bits of every stretch: step x bit x stretch
+            parts = [w[first[:n] + step * STEP] for w in windows]
+            left = n_bits[:n] - step * STEP
+            whole = int(np.searchsorted(-left, -wide, side="right"))
+            if whole < n:  # bits that are certain and without odds fill up what lies behind an end
+                behind = np.arange(wide)[None, :] >= left[whole:, None]
+                for part, fill in zip(parts, (LIMIT, *[0] * len(odds))):
+                    part[whole:][behind] = fill
+            laid = [np.ascontiguousarray(p.reshape(n, AHEAD, STEP).transpose(1, 2, 0)) for p in parts]
+        x, *values = (np.ascontiguousarray(p[step % AHEAD, :, :n]) for p in laid)
         for value, delta in zip(values, deltas):
             x += value * delta[:n]
         np.clip(x, -LIMIT, LIMIT, out=x)
-        x *= s
         np.negative(x, out=x)
         np.exp(x, out=x)  # odds against the bit that came
         one = x + 1
         product[:n] *= one.prod(axis=0, dtype=np.float64)
         x /= one
-        x *= s
         for value, delta in zip(values, deltas):
             value *= x
             delta[:n] += RATE * value.sum(axis=0)
@@ -374,12 +445,8 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         training = source.filter(F.col("remainder") != held)
         slots = written(count_contexts(training.select("text")), "contexts")
         found = slots.toArrow()  # at most FLAT rows: the size of the hashed tables
-        n_docs, n_bytes = training.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        share = min(1.0, TUNING_BYTES / max(n_bytes, 1))
-        chance = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-        # A share of the texts, each no longer than the tuning as a whole: about TUNING_BYTES.
-        sample = training.filter((chance < share) & (F.octet_length("text") <= TUNING_BYTES)).select("doc_id", "text")
-        model = build(found.column("slot").to_numpy(), found.column("n").to_numpy(), sorted(sample.select("text").toArrow().column("text").to_pylist()))
+        n_docs = training.count()
+        model = build(found.column("slot").to_numpy(), found.column("n").to_numpy(), training)
 
         blocks = written(_blocks(source, model, held), "blocks")
         words = blocks.filter("word is not null")
@@ -394,9 +461,10 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
             for batch in batches:
                 for row in range(batch.num_rows):
                     d = batch.column("docs")[row].as_py()
-                    place = np.array(batch.column("place")[row].as_py() or [], np.int64)
-                    c = np.zeros(len(place), np.int64)
-                    c[place] = np.array(batch.column("total")[row].as_py() or [], np.int64)
+                    place, total = (batch.column(name)[row].values for name in ("place", "total"))  # none for a block without words
+                    c = np.zeros(0 if place is None else len(place), np.int64)
+                    if place is not None:
+                        c[place.to_numpy()] = total.to_numpy()
                     own = c[np.frombuffer(d["words"], "<i4")]
                     n = np.array(d["n_words"], np.int64)
                     known = np.concatenate([[0], np.cumsum(own > 0)])
