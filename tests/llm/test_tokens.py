@@ -34,3 +34,15 @@ def test_random_strings(pair):
     marks = [chr(m) for m in range(0x300, 0x370)]
     _same(pair, ["".join(rng.choice(marks) if rng.random() < 0.15 else rng.choice(alphabet) for _ in range(rng.randrange(30)))
                  for _ in range(20_000)])
+
+
+def test_punctuation_after_a_word_makes_no_other_word():
+    ours = Encoder(queries.WORD_BPE)
+    ours.counts([b"Word, word. word; (word) word's", b"", b" word\tWORD? "])
+    assert set(ours.place) == {b"word", b",", b".", b";", b"(word", b")", b"?", b"'s"}
+
+
+def test_cuts_between_letters_and_others(pair):
+    rng = random.Random(5)
+    parts = ["'s", "'re", "s'", "'", "re", "Don", ".", "...", "?!", ",\u0301", "=\u0338", "7", "é", "É.", "Σ", "Σ,", "x", "-", "_", "\x00", "\x1f", "<|"]
+    _same(pair, ["".join(rng.choice(parts) if rng.random() < 0.85 else " " for _ in range(rng.randrange(12))) for _ in range(20_000)])

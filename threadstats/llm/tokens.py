@@ -2,8 +2,10 @@
 
 A tokenizer that replaces runs of white space and then keeps only the matches
 of a pattern (white space is none of them) encodes each word by itself; its
-words are encoded once per worker and remembered.  All other tokenizers, and
-texts that hold one of a tokenizer's special strings, are encoded whole.
+words are encoded once per worker and remembered.  If its pattern, besides, ends
+a match where ASCII letters end, "word," is remembered as a word and a comma.
+All other tokenizers, and texts that hold one of a tokenizer's special strings,
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,11 +16,19 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from threadstats.llm.shared import LOWER, words_of
 
 #: Words that a Python worker remembers before it starts anew.
 MEMO = 1_500_000
+#: Which bytes are white space, which are ASCII letters, and which are any other ASCII.
+WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+OTHER = (np.arange(256) < 128) & ~WHITE & ~LETTER
+#: No match of this pattern holds a letter and, right after it, anything else.
+LETTERS_ALONE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def version(path: str) -> str:
@@ -34,13 +44,25 @@ def by_word(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
-    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    first = _first_cut(spec)
     kinds = [s["type"] for s in steps]
     return (kinds == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"}
             and steps[1]["content"] == " " and first.get("type") == "Split" and first.get("behavior") == "Removed"
             and first.get("invert") is True and spec.get("post_processor") is None)
 
 
+def by_letters(path: str) -> bool:
+    """True if the tokenizer, besides, begins anew wherever an ASCII letter is followed by an ASCII byte that is none."""
+    if not by_word(path):
+        return False
+    with open(path, encoding="utf-8") as file:
+        return _first_cut(json.load(file))["pattern"] == {"Regex": LETTERS_ALONE}
+
+
+def _first_cut(spec: dict) -> dict:
+    return ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+
+
 def lowered_words(text: bytes) -> list[bytes]:
     """The words between ASCII white space, with A-Z lower-cased as far as that can come before composing.
 
@@ -53,12 +75,32 @@ def lowered_words(text: bytes) -> list[bytes]:
     return words_of(text)
 
 
+def split_words(texts: list[bytes], cut: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different ``lowered_words`` of all texts, the number of each word in turn, and each text's number of words.
+
+    ``cut`` also cuts between an ASCII letter and an ASCII byte that is none, as in "word,".
+    """
+    lowered = [b" ".join(lowered_words(t)) if b"\xcc" in t or b"\xcd" in t else t.translate(LOWER) for t in texts]
+    flat = np.frombuffer(b" ".join([b"", *lowered]), np.uint8)  # white space comes before every text
+    inside = ~WHITE[flat]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | (LETTER[flat[:-1]] & OTHER[flat[1:]]) if cut else ~inside[:-1]
+    at = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
+    counts = np.diff(np.searchsorted(np.flatnonzero(starts), at, side="right"), prepend=0)
+    offsets = np.append(np.flatnonzero(starts[inside]), np.count_nonzero(inside)).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])]).dictionary_encode()
+    ends = np.cumsum(pc.binary_length(words.dictionary).to_numpy(zero_copy_only=False), dtype=np.int64).tolist()
+    together = b"".join(words.dictionary.buffers()[2:]) if ends else b""
+    return [together[i:j] for i, j in zip([0, *ends], ends)], words.indices.to_numpy(), counts
+
+
 class Encoder:
     """Token ids of texts given as UTF-8."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs in parallel
-        self.path, self.words_alone = path, by_word(path)
+        self.path, self.words_alone, self.cut = path, by_word(path), by_letters(path)
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -107,21 +149,16 @@ class Encoder:
 
     def _places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The memo's place of every word of all texts in turn, and each text's number of words."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = lowered_words(text)
-            counts[i] = len(own)
-            words += own
-        found = list(map(self.place.get, words))
-        new = {w for w, at in zip(words, found) if at is None} if None in found else set()
+        different, number, counts = split_words(texts, self.cut)  # a word that the texts repeat is looked up once
+        found = list(map(self.place.get, different))
+        new = [w for w, at in zip(different, found) if at is None] if None in found else []
         if new:
             if len(self.place) + len(new) > MEMO and self.place:
                 self._forget()
-                new = set(words)
-            self._learn(list(new))
-            found = list(map(self.place.__getitem__, words))
-        return np.array(found, np.int64), counts
+                new = different
+            self._learn(new)
+            found = list(map(self.place.__getitem__, different))
+        return np.array(found, np.int64)[number], counts
 
     def _plain(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
         """Which texts go word by word, and which are encoded whole.
