@@ -1,6 +1,7 @@
 """Neighbours, mutual reach and stable clusters against plain computations over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,42 @@ def test_components_of_a_long_path_and_a_star(spark):
     star = {int(shuffled[1000 + i]) for i in range(200)}
     for x, label in got.items():
         assert label == (min(path) if x in path else min(star) if x in star else x)
+
+
+def test_few_asking_points_are_asked_at_once(spark):
+    nodes = [3, 15, 27, 39, 41, 42, 43, 44, 45, 70, 99]
+    asking = spark.createDataFrame([(n,) for n in nodes], "node bigint")
+    portions = K._portions(asking, 10)  # the slices hold 1, 1, 1, 1, 5, 1 and 1 of them
+    assert portions == [(0, 80), (90, 100)]
+    assert all(sum(a <= n < b for n in nodes) <= 4 for a, b in K._portions(asking, 4))
+    assert sorted(n for a, b in portions for n in nodes if a <= n < b) == nodes
+    assert K._portions(asking.limit(0), 10) == []
+
+
+def test_a_tile_sorts_no_lists_but_its_own(monkeypatch):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(300, 6))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+
+    class Table:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, scan, schema):
+            return scan
+
+    batch = pa.record_batch([pa.array(np.zeros(300, np.int64)), pa.array(np.arange(300) // 30), pa.array(np.arange(300)),
+                             pa.array(list(points))], ["block", "cell", "node", "vector"])
+    zones = N.Zones(np.zeros((10, 6)), {(0, c): (0.0, 9.0) for c in range(10)})
+    sorted_rows, plain = [], N.first_of_each
+    monkeypatch.setattr(N, "TILE_QUESTIONS", 20)
+    monkeypatch.setattr(N, "first_of_each", lambda group, order, k: sorted_rows.append(len(group)) or plain(group, order, k))
+    scan = N._scan_nearest(zones, Table(), np.arange(300), points, np.full(300, 2.0), 3)
+    (found,) = scan(iter([batch]))
+    assert max(sorted_rows) <= 20 * (3 + 3)
+    got = {}
+    for node, other, distance in zip(*(found.column(c).to_pylist() for c in range(3))):
+        got.setdefault(node, []).append((distance, other))
+    for node in range(300):
+        far = np.maximum(1 - points @ points[node], 0)
+        assert [o for _, o in got[node]] == [o for o in np.lexsort([np.arange(300), far]).tolist() if o != node][:3]

@@ -104,6 +104,21 @@ def _shortest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("tree").agg(F.min(F.struct("weight", "a", "b")).alias("e")).select("tree", "e.*")
 
 
+def _portions(asking: DataFrame, size: int) -> list[tuple[int, int]]:
+    """Ranges of nodes, each with at most ``size`` of the asking points, so that few points make few scans."""
+    counts = asking.groupBy(F.floor(F.col("node") / size).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    out: list[tuple[int, int]] = []
+    held = 0
+    for part, n in counts:  # one row per slice of nodes
+        start, stop = part * size, (part + 1) * size
+        if out and held + n <= size:
+            out[-1], held = (out[-1][0], stop), held + n
+        else:
+            out.append((start, stop))
+            held = n
+    return out
+
+
 def _outgoing(index: Index, edges: DataFrame, reach: DataFrame, trees: DataFrame, slice_size: int) -> DataFrame:
     """(tree, weight, a, b): the shortest edge that leaves each tree, among all pairs of points.
 
@@ -123,16 +138,15 @@ def _outgoing(index: Index, edges: DataFrame, reach: DataFrame, trees: DataFrame
         .join(bounds, "tree", "left").withColumn("bound", F.coalesce("bound", F.lit(np.inf))))
     points = written(joined.repartitionByRange("node").sortWithinPartitions("node"), "reach-points")
     asking = points.filter(F.col("farthest") < F.col("bound"))
-    if asking.isEmpty():
+    portions = _portions(asking, slice_size)
+    if not portions:
         return listed
     path = scratch_path(spark, "outgoing")
     schema = "tree bigint, weight double, a bigint, b bigint"
     listed.write.parquet(path)
-    for start, stop in index.slices(slice_size):
+    for start, stop in portions:
         part = asking.filter(F.col("node").between(start, stop - 1)).orderBy("node").select(
             "node", "vector", "core", "tree", "bound").toArrow()
-        if not part.num_rows:
-            continue
         asked = {c: part.column(c).to_numpy() for c in ("node", "core", "tree", "bound")}
         asked["vector"] = matrix(part.column("vector"))
         blocks = needed_blocks(index, asked["vector"], asked["bound"])

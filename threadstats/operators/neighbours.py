@@ -31,6 +31,8 @@ from threadstats.storage import scratch_path, written
 MAX_PIVOTS, MAX_BLOCKS, SLICE = 512, 20_000, 8_192
 BLOCK = 1_024
 TILE_QUESTIONS, TILE_POINTS = 512, 2_048
+# Stands in lists that are not full yet.
+NOBODY = np.iinfo(np.int64).max
 # Products of blocks differ from products of rows by rounding only.
 SLACK = 1e-9
 
@@ -152,7 +154,7 @@ def _scan_nearest(zones: Zones, table: DataFrame, nodes: np.ndarray, vectors: np
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = bound.copy()
-        kept = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # question, distance, node
+        near, names = np.full((len(nodes), k), np.inf), np.full((len(nodes), k), NOBODY)
         for batch in batches:
             others, points = batch.column("node").to_numpy(), matrix(batch.column("vector"))
             for block, cell, rows in runs_of(batch):
@@ -160,27 +162,28 @@ def _scan_nearest(zones: Zones, table: DataFrame, nodes: np.ndarray, vectors: np
                     tile = slice(start, start + TILE_QUESTIONS)
                     ask = np.flatnonzero(zones.reach(vectors[tile], block, cell) ** 2 / 2 <= limit[tile] + SLACK) + start
                     if len(ask):
-                        kept = join(kept, limit, ask, others[rows], points[rows])
-        yield pa.record_batch([pa.array(nodes[kept[0]]), pa.array(kept[2]), pa.array(kept[1])], ["node", "other", "distance"])
-
-    def join(kept, limit, ask, others, points):
-        near = 1.0 - vectors[ask] @ points.T
-        near[nodes[ask][:, None] == others[None, :]] = np.inf
+                        join(near, names, limit, ask, others[rows], points[rows])
+        found = np.isfinite(near)
+        yield pa.record_batch([pa.array(np.repeat(nodes, found.sum(axis=1))), pa.array(names[found]), pa.array(near[found])],
+                              ["node", "other", "distance"])
+
+    def join(near, names, limit, ask, others, points):
+        """Put what is nearer into the lists of the questions that it is nearer to; the others' lists are not touched."""
+        rough = 1.0 - vectors[ask] @ points.T
+        rough[nodes[ask][:, None] == others[None, :]] = np.inf
         most = limit[ask]
-        if near.shape[1] > k:  # more than the k nearest of a tile can't count
-            most = np.minimum(most, np.partition(near, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero((near <= most[:, None] + SLACK) & np.isfinite(near))
-        if not len(i):
-            return kept
-        i = ask[i]
-        together = [np.concatenate(x) for x in zip(kept, (i, distances(vectors, points, i, j), others[j]))]
-        best = first_of_each(together[0], together[1:], k)
-        together = [x[best] for x in together]
-        asked, count = np.unique(together[0], return_counts=True)
-        last = np.cumsum(count) - 1
-        full = count == k
-        limit[asked[full]] = np.minimum(limit[asked[full]], together[1][last[full]])
-        return together
+        if rough.shape[1] > k:  # more than the k nearest of a tile can't count
+            most = np.minimum(most, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero((rough <= most[:, None] + SLACK) & np.isfinite(rough))
+        if not len(i) or not k:
+            return
+        changed, place = np.unique(ask[i], return_inverse=True)
+        owner = np.concatenate([np.repeat(np.arange(len(changed)), k), place])
+        distance = np.concatenate([near[changed].ravel(), distances(vectors, points, ask[i], j)])
+        name = np.concatenate([names[changed].ravel(), others[j]])
+        best = first_of_each(owner, [distance, name], k)  # k of each: lists are filled up
+        near[changed], names[changed] = distance[best].reshape(-1, k), name[best].reshape(-1, k)
+        limit[changed] = np.minimum(limit[changed], near[changed, -1])
 
     return table.select("block", "cell", "node", "vector").mapInArrow(scan, "node bigint, other bigint, distance double")
 
