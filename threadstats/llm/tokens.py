@@ -21,8 +21,10 @@ import pyarrow.compute as pc
 
 from threadstats.llm.shared import LOWER, words_of
 
-#: Words that a Python worker remembers before it starts anew.
-MEMO = 1_500_000
+#: Bytes of the words that a Python worker remembers before it starts anew: about a million words.
+MEMO = 64 << 20
+#: Joined words that the library encodes at once.
+JOINED = 20
 #: Which bytes are white space, which are ASCII letters, and which are any other ASCII.
 WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
@@ -95,8 +97,16 @@ def split_words(texts: list[bytes], cut: bool = False) -> tuple[list[bytes], np.
     return [together[i:j] for i, j in zip([0, *ends], ends)], words.indices.to_numpy(), counts
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(hash, words), np.int64, len(words))
+
+
 class Encoder:
-    """Token ids of texts given as UTF-8."""
+    """Token ids of texts given as UTF-8.
+
+    Words are remembered in a few arrays, found by their hash and compared: as
+    objects of a dictionary they would take several times the memory.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs in parallel
@@ -120,8 +130,11 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # The word at a place is text[begin[place]:begin[place + 1]], its ids are ids[start[place]:start[place + 1]].
+        self.text, self.begin = b"", np.zeros(1, np.int64)
+        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.hashes, self.places = np.zeros(0, np.int64), np.zeros(0, np.int32)  # by hash, ascending
+        self.clash: dict[bytes, int] = {}  # places of words whose hash is that of another word
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self._whole([t.decode("utf-8", "replace") for t in texts]) if texts else []
@@ -134,31 +147,65 @@ class Encoder:
             return np.concatenate(found) if found else np.zeros(0, np.uint32), np.array([len(x) for x in found], np.int64)
         mark, content = self.between
         joined = [content.encode().join(words[i:i + 500]) for i in range(0, len(words), 500)]
-        flat = np.concatenate([np.append(x, np.uint32(mark)) for x in self.whole(joined)])
+        flat = np.concatenate([np.append(x, np.uint32(mark)) for i in range(0, len(joined), JOINED)
+                               for x in self.whole(joined[i:i + JOINED])])
         ends = np.flatnonzero(flat == mark)
         if len(ends) != len(words):
             raise ValueError(f"{len(words)} words gave {len(ends)} ends: a word holds a special string")
         return flat[flat != mark], np.diff(np.concatenate([[-1], ends])) - 1
 
+    @property
+    def place(self) -> dict[bytes, int]:
+        """The words remembered and their places."""
+        ends = self.begin.tolist()
+        return {self.text[begin:end]: at for at, (begin, end) in enumerate(zip(ends, ends[1:]))}
+
+    def _size(self) -> int:
+        return len(self.text) + sum(x.nbytes for x in (self.begin, self.start, self.ids, self.hashes, self.places))
+
     def _learn(self, new: list[bytes]) -> None:
         ids, lengths = self._words(new)
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.start = np.append(self.start, len(self.ids) + np.cumsum(lengths) - lengths)
-        self.length = np.append(self.length, lengths)
+        place = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new), dtype=np.int32)
+        self.text += b"".join(new)
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(list(map(len, new))))
+        self.start = np.append(self.start, self.start[-1] + np.cumsum(lengths))
         self.ids = np.append(self.ids, ids)
+        hashes = _hashes(new)
+        order = np.argsort(hashes, kind="stable")
+        hashes, place = hashes[order], place[order]
+        at = np.searchsorted(self.hashes, hashes)
+        taken = np.append(False, hashes[1:] == hashes[:-1])
+        if len(self.hashes):
+            taken |= self.hashes.take(at, mode="clip") == hashes
+        self.clash.update((new[i], int(p)) for i, p in zip(order[taken], place[taken]))
+        self.hashes = np.insert(self.hashes, at[~taken], hashes[~taken])
+        self.places = np.insert(self.places, at[~taken], place[~taken])
+
+    def _found(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word, -1 for those not remembered."""
+        found = np.full(len(words), -1, np.int64)
+        if len(self.hashes):
+            hashes = _hashes(words)
+            at = np.searchsorted(self.hashes, hashes)
+            known = np.flatnonzero(self.hashes.take(at, mode="clip") == hashes)
+            found[known] = own = self.places[at[known]]
+            spans = zip(known.tolist(), self.begin[own].tolist(), self.begin[own + 1].tolist())
+            others = [i for i, begin, end in spans if self.text[begin:end] != words[i]]
+            found[others] = [self.clash.get(words[i], -1) for i in others]
+        return found
 
     def _places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The memo's place of every word of all texts in turn, and each text's number of words."""
         different, number, counts = split_words(texts, self.cut)  # a word that the texts repeat is looked up once
-        found = list(map(self.place.get, different))
-        new = [w for w, at in zip(different, found) if at is None] if None in found else []
-        if new:
-            if len(self.place) + len(new) > MEMO and self.place:
+        found = self._found(different)
+        if (found < 0).any():
+            if self._size() > MEMO:
                 self._forget()
-                new = different
-            self._learn(new)
-            found = list(map(self.place.__getitem__, different))
-        return np.array(found, np.int64)[number], counts
+                found[:] = -1
+            new = np.flatnonzero(found < 0)
+            found[new] = len(self.begin) - 1 + np.arange(len(new))
+            self._learn([different[i] for i in new.tolist()])
+        return found[number], counts
 
     def _plain(self, texts: list[bytes]) -> tuple[list[int], list[int]]:
         """Which texts go word by word, and which are encoded whole.
@@ -177,7 +224,7 @@ class Encoder:
         out = np.zeros(len(texts), np.int64)
         plain, odd = self._plain(texts)
         own, counts = self._places([texts[i] for i in plain])
-        ends = np.concatenate([[0], np.cumsum(self.length[own])])
+        ends = np.concatenate([[0], np.cumsum(self.start[own + 1] - self.start[own])])
         last = np.cumsum(counts)
         out[plain] = ends[last] - ends[last - counts]
         out[odd] = [len(ids) for ids in self.whole([texts[i] for i in odd])]
@@ -188,7 +235,7 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         plain, odd = self._plain(texts)
         own, counts = self._places([texts[i] for i in plain])
-        lengths = self.length[own]
+        lengths = self.start[own + 1] - self.start[own]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(self.start[own] - ends[:-1], lengths) + np.arange(ends[-1])]
         last = np.cumsum(counts)
