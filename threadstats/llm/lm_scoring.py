@@ -13,8 +13,8 @@ by its bytes it gives bits per byte.
 
 The plain score beside it is a smoothed unigram model of words.  Words are
 counted by block of texts, summed over the corpus, and their counts go back to
-the blocks: one row per block and different word, so that frequent words are in
-no one's hands.
+the blocks: once per block and different word, so that frequent words are in
+no one's hands, and as one row for all words of a block that fall into one bucket.
 
 Null texts are empty: one end, no words.  Rows without an id are training texts
 (their remainder is none) and scored like others; repeated rows too.  Extra
@@ -25,6 +25,7 @@ texts N and V are zero, every word is unknown, and the odds are even.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from itertools import count as counter
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadstats.llm.shared import LOWER, chunks, remainder, texts
+from threadstats.llm.tokens import cut_words
 from threadstats.storage import scope, written
 
 #: Bytes of context of each predictor, and bits of its hashed contexts.
@@ -56,6 +58,8 @@ PLAIN = b"\1" + LOWER[1:]
 LEVELS, LEVEL_BYTES = 32, 1 << 18
 #: Slots of the hashed contexts that are shuffled as one row.
 SLOTS = 4096
+#: Buckets of words at least, and bytes of training texts for each of them; a task sums a bucket's words in memory.
+BUCKETS, BUCKET_BYTES = 256, 32 << 20
 
 
 @dataclass
@@ -119,10 +123,19 @@ def count_contexts(training: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(ends, pa.array((part % SLOTS).astype(np.int16))),
                      pa.ListArray.from_arrays(ends, pa.array(total[low + part]))], ["part", "at", "n"])
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}  # a task's share of the FLAT slots
+        for batch in batches:
+            for part, at, n in zip(*(batch.column(c) for c in ("part", "at", "n"))):
+                total = totals.setdefault(part.as_py(), np.zeros(SLOTS, np.int64))
+                total[at.values.to_numpy()] += n.values.to_numpy()
+        for part, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array((part * SLOTS + at).astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
     # Many slots a row, so that little is shuffled; a part's rows then lie together.
     packed = training.mapInArrow(each, "part int, at array<smallint>, n array<int>").repartition("part")
-    single = packed.select("part", F.explode(F.arrays_zip("at", "n")).alias("s")).groupBy("part", "s.at").agg(F.sum("s.n").alias("n"))
-    return single.select((F.col("part") * SLOTS + F.col("at")).cast("int").alias("slot"), "n")
+    return packed.mapInArrow(summed, "slot int, n bigint")
 
 
 def _inside(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -336,13 +349,14 @@ def _code(model: Model, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
     total = len(bits)
     sign = (bits * 2 - 1).astype(np.float32)  # odds are those of the bit that came
     wide = AHEAD * STEP
-    gate, base = model.seen.take(slots[-1]), np.zeros(total + wide, np.float32)
-    odds = []
+    gate, base = model.seen.take(slots[-1], mode="clip").astype(np.intp), np.zeros(total + wide, np.float32)
+    odds, weighted = [], np.empty(total, np.float32)
     for k, slot in enumerate(slots):
-        value = np.zeros(total + wide, np.float32)
+        value = np.empty(total + wide, np.float32)
+        value[total:] = 0
         model.odds[k].take(slot, out=value[:total], mode="clip")
         value[:total] *= sign
-        weighted = model.weights[:, k].astype(np.float32).take(gate)
+        model.weights[:, k].astype(np.float32).take(gate, out=weighted, mode="clip")
         weighted *= value[:total]
         base[:total] += weighted
         odds.append(value)
@@ -389,18 +403,21 @@ def _code(model: Model, flat: np.ndarray, begin: np.ndarray, end: np.ndarray) ->
 
 # -- the operator ------------------------------------------------------------------------------
 
-BLOCKS = ("block bigint, word binary, place int, n bigint, "
-          "docs struct<doc_id:array<bigint>,trained:array<boolean>,remainder:array<int>,n_words:array<int>,"
-          "score:array<double>,words:binary>")
+BLOCKS = ("block bigint, bucket int, words binary, length binary, n binary, "
+          "docs struct<doc_id:array<bigint>,remainder:array<int>,n_words:array<int>,"
+          "score:array<double>,words:binary,place:binary>")
+
 
+def _blocks(docs: DataFrame, model: Model, held: int, buckets: int) -> DataFrame:
+    """Per block of texts: a row of its different words of each bucket (n: how often in training texts), and one row of its texts.
 
-def _blocks(docs: DataFrame, model: Model, held: int) -> DataFrame:
-    """Per block of texts: a row for each different word (n: how often in training texts), and one row of its texts."""
+    ``place`` lists the block's words by bucket; a bucket's words, lengths and counts are in that order.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs_type = pa.struct([("doc_id", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())),
-                           ("remainder", pa.list_(pa.int32())), ("n_words", pa.list_(pa.int32())),
-                           ("score", pa.list_(pa.float64())), ("words", pa.binary())])
-    names = ["block", "word", "place", "n", "docs"]
+    docs_type = pa.struct([("doc_id", pa.list_(pa.int64())), ("remainder", pa.list_(pa.int32())),
+                           ("n_words", pa.list_(pa.int32())), ("score", pa.list_(pa.float64())),
+                           ("words", pa.binary()), ("place", pa.binary())])
+    names = ["block", "bucket", "words", "length", "n", "docs"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -409,34 +426,52 @@ def _blocks(docs: DataFrame, model: Model, held: int) -> DataFrame:
             number += 1
             content = batch.column("text").to_pylist()
             rest = np.array(batch.column("remainder").to_pylist(), np.int32)
-            place: dict[bytes, int] = {}
-            own = []
-            for text in content:
-                words = text.translate(LOWER).split()
-                for w in words:
-                    if w not in place:
-                        place[w] = len(place)
-                own.append(np.array([place[w] for w in words], np.int32))
-            trained = rest != held
-            learned = [o for o, t in zip(own, trained) if t]
-            n = np.bincount(np.concatenate(learned), minlength=len(place)) if learned else np.zeros(len(place), np.int64)
+            words, own, n_words = cut_words([t.translate(LOWER) for t in content])
+            n = np.bincount(own[np.repeat(rest != held, n_words)], minlength=len(words)).astype("<i4")
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int32)
+            length = np.array(list(map(len, words)), "<i4")
+            place = np.argsort(bucket, kind="stable").astype("<i4")
             score = log10_probability(shared.value, content)
-            words = list(place)
-            for low in range(0, len(words), 50_000):
-                part = words[low:low + 50_000]
+            kinds, begin = np.unique(bucket[place], return_index=True)
+            parts = [place[i:j] for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(place)])]
+            if parts:
                 yield pa.record_batch([
-                    pa.array(np.full(len(part), block)), pa.array(part, pa.binary()),
-                    pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(n[low:low + 50_000].astype(np.int64)),
-                    pa.nulls(len(part), docs_type)], names)
-            row = {"doc_id": batch.column("doc_id").to_pylist(), "trained": trained.tolist(), "remainder": rest.tolist(),
-                   "n_words": [len(o) for o in own], "score": score.tolist(),
-                   "words": np.concatenate(own).astype("<i4").tobytes()}
-            yield pa.record_batch([pa.array([block]), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()),
-                                   pa.nulls(1, pa.int64()), pa.array([row], docs_type)], names)
+                    pa.array(np.full(len(parts), block)), pa.array(kinds),
+                    pa.array([b"".join([words[i] for i in p.tolist()]) for p in parts], pa.binary()),
+                    pa.array([length[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([n[p].tobytes() for p in parts], pa.binary()), pa.nulls(len(parts), docs_type)], names)
+            row = {"doc_id": batch.column("doc_id").to_pylist(), "remainder": rest.tolist(), "n_words": n_words.tolist(),
+                   "score": score.tolist(), "words": own.astype("<i4").tobytes(), "place": place.tobytes()}
+            yield pa.record_batch([pa.array([block]), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 3,
+                                   pa.array([row], docs_type)], names)
 
     return docs.mapInArrow(each, BLOCKS)
 
 
+def word_totals(blocks: DataFrame) -> DataFrame:
+    """(block, bucket, total, n_all, n_kinds): the totals of a block's words of a bucket; in a row without block, what the bucket adds to N and V."""
+
+    def each(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        text, length, n = (b"".join(rows.column(c).to_pylist()) for c in ("words", "length", "n"))
+        ends = np.append(0, np.cumsum(np.frombuffer(length, "<i4"), dtype=np.int64))
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
+        number = words.indices.to_numpy()
+        total = np.zeros(len(words.dictionary), np.int64)
+        np.add.at(total, number, np.frombuffer(n, "<i4").astype(np.int64))
+        sizes = [len(x) // 4 for x in rows.column("length").to_pylist()]
+        own = [x.astype("<i8").tobytes() for x in np.split(total[number], np.cumsum(sizes)[:-1])]
+        return pa.table({
+            "block": pa.array([*rows.column("block").to_pylist(), None], pa.int64()),
+            "bucket": pa.array([*rows.column("bucket").to_pylist(), None], pa.int32()), "total": pa.array([*own, None], pa.binary()),
+            "n_all": pa.array([None] * len(own) + [int(total.sum())], pa.int64()),
+            "n_kinds": pa.array([None] * len(own) + [int(np.count_nonzero(total))], pa.int64())})
+
+    return blocks.filter("words is not null").select("block", "bucket", "words", "length", "n").groupBy("bucket").applyInArrow(
+        each, "block bigint, bucket int, total binary, n_all bigint, n_kinds bigint")
+
+
 def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = docs.sparkSession
@@ -448,23 +483,24 @@ def lm_scores(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         n_docs = training.count()
         model = build(found.column("slot").to_numpy(), found.column("n").to_numpy(), training)
 
-        blocks = written(_blocks(source, model, held), "blocks")
-        words = blocks.filter("word is not null")
-        totals = written(words.groupBy("word").agg(F.sum("n").alias("total")), "totals")
-        size = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
+        n_bytes = int(np.sum(found.column("n").to_numpy())) // len(ORDERS)
+        blocks = written(_blocks(source, model, held, max(BUCKETS, n_bytes // BUCKET_BYTES)), "blocks")
+        totals = written(word_totals(blocks), "totals")
+        zero = F.lit(0)
+        size = totals.agg(F.coalesce(F.sum("n_all"), zero), F.coalesce(F.sum("n_kinds"), zero)).first()
         n_all, n_kinds = size[0] + n_docs, size[1] + (n_docs > 0)
-        back = words.select("block", "word", "place").join(totals.hint("merge"), "word").groupBy("block").agg(
-            F.collect_list("place").alias("place"), F.collect_list("total").alias("total"))
+        back = totals.filter("block is not null").groupBy("block").agg(
+            F.array_sort(F.collect_list(F.struct("bucket", "total"))).alias("totals"))
         texts_ = blocks.filter("docs is not null").select("block", "docs")
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
                     d = batch.column("docs")[row].as_py()
-                    place, total = (batch.column(name)[row].values for name in ("place", "total"))  # none for a block without words
-                    c = np.zeros(0 if place is None else len(place), np.int64)
-                    if place is not None:
-                        c[place.to_numpy()] = total.to_numpy()
+                    totals_ = batch.column("totals")[row].as_py() or []  # none for a block without words
+                    place = np.frombuffer(d["place"], "<i4")
+                    c = np.zeros(len(place), np.int64)
+                    c[place] = np.frombuffer(b"".join([t["total"] for t in totals_]), "<i8")
                     own = c[np.frombuffer(d["words"], "<i4")]
                     n = np.array(d["n_words"], np.int64)
                     known = np.concatenate([[0], np.cumsum(own > 0)])

@@ -82,7 +82,11 @@ def split_words(texts: list[bytes], cut: bool = False) -> tuple[list[bytes], np.
 
     ``cut`` also cuts between an ASCII letter and an ASCII byte that is none, as in "word,".
     """
-    lowered = [b" ".join(lowered_words(t)) if b"\xcc" in t or b"\xcd" in t else t.translate(LOWER) for t in texts]
+    return cut_words([b" ".join(lowered_words(t)) if b"\xcc" in t or b"\xcd" in t else t.translate(LOWER) for t in texts], cut)
+
+
+def cut_words(lowered: list[bytes], cut: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``split_words`` of texts that are lower-cased."""
     flat = np.frombuffer(b" ".join([b"", *lowered]), np.uint8)  # white space comes before every text
     inside = ~WHITE[flat]
     starts = inside.copy()
