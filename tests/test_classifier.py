@@ -60,3 +60,18 @@ def test_state_survives_a_restart(spark, tmp_path):
     assert arrive([("a", "2024-01-01 11:00:00", 9, "late"), ("b", "2024-01-01 09:00:00", 4, "tie")]) == [("a", "second"), ("b", "tie")]
     assert spark.read.parquet(target).count() == before + 1
     assert arrive([("a", "2024-01-09 10:00:00", 5, "new"), ("c", "2024-01-09 10:00:00", 6, "c")]) == [("a", "new"), ("b", "tie"), ("c", "c")]
+
+
+def test_descriptor_sets_share_one_count_of_replies(spark, tmp_path, monkeypatch):
+    spark.range(200).select(
+        F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 28 as int))").alias("ts"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(50).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    alone = {n: f(fixtures.entries(spark, str(tmp_path))) for n, f in (("f1", descriptors.f1_descriptors), ("f2", descriptors.f2_descriptors))}
+    wanted = {n: sorted(map(tuple, df.collect())) for n, df in alone.items()}
+    times, totals = [], forest.subtree_totals
+    monkeypatch.setattr(forest, "subtree_totals", lambda *args, **more: (times.append(1), totals(*args, **more))[1])
+    described = queries._described(spark, str(tmp_path))
+    assert {n: sorted(map(tuple, described[n].collect())) for n in wanted} == wanted
+    assert len(times) == 1
