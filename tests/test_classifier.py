@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures, queries
 from threadstats.operators import classifier as B
+from threadstats.operators import descriptors, forest
 from threadstats.streaming import ingest as R
 
 
