@@ -1,8 +1,11 @@
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from threadstats.functions import cutting as K
+from threadstats.functions import text as X
 from threadstats.operators import stance as S
 from threadstats.operators import terms as W
 from threadstats.sources import dumps as I
@@ -69,3 +72,41 @@ def test_packed_csv_comes_back(spark):
     assert all(f.endswith(".gz") for f in spark.read.format("binaryFile").load(path).select("path").toPandas()["path"])
     row = I.read_comments(spark, path).first()
     assert (row.content, row.submission_id, row.parent_id) == ('say "x",\nthen y', "s", "p")
+
+
+ODD = ["a'b 'c' d..e f.g will wi!ll w1ill WILL", None, "", "'x", "x'", "É́tude ΑΣ ας İx ½ Ⅷ 漢字 𝒜b 😀c", "see http://x.y/z?q www.ab.c end",
+       "a b\x0bc\x1cd e ¿f… ‘g’", "will", "w", "ill", "12 3x4", "ﬁn\u0085ok", "a_b-c.d'e"]
+
+
+def test_words_cut_from_bytes_are_those_of_the_expressions(spark):
+    docs = spark.createDataFrame(list(enumerate(ODD)), "i int, t string").coalesce(1)
+    rows = docs.select("t", X.model_text(F.col("t")).alias("low"), X.model_tokens(F.col("t")).alias("m"),
+                       X.descriptor_tokens(F.col("t")).alias("d")).collect()
+
+    def lists(words, n):
+        words = iter(words.to_pylist())
+        return [[next(words) for _ in range(k)] for k in n]
+
+    for start, part in ((0, len(rows)), (3, 5)):  # an array may be a part of a larger one
+        chosen = rows[start:start + part]
+        assert lists(*K.model_words(pa.array([r.low for r in rows]).slice(start, part), K.letters())) == [r.m or [] for r in chosen]
+        cut = lists(*K.descriptor_words(pa.array([r.t for r in rows]).slice(start, part)))
+        low = dict(spark.createDataFrame([(w,) for w in {w for ws in cut for w in ws}], "w string").select("w", F.lower("w")).collect())
+        assert [[low[w] for w in ws] for ws in cut] == [[w for w in r.d or [] if w] for r in chosen]
+
+
+@pytest.mark.parametrize("held", [0, 8_000_000])
+def test_many_known_words_move_no_words_of_documents(spark, monkeypatch, held):
+    docs = spark.createDataFrame(
+        [(0, "a", 1, "ships sail ships"), (1, "b", 1, "cats purr purring"), (0, "a", 2, "purr ships"), (1, None, 1, "ships"), (1, "b", None, "purr")],
+        "label int, author string, period int, content string")
+    model, prior = S.train(docs)
+    want = sorted(map(str, S.author_stance(docs, model, prior, min_total=1).collect()))
+    names, kept = [], S.written
+    monkeypatch.setattr(S, "written", lambda df, name: names.append(df.columns) or kept(df, name))
+    monkeypatch.setattr(S, "STEM_MAP_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(S, "MAX_HELD_WORDS", held)
+    assert sorted(map(str, S.author_stance(docs, model, prior, min_total=1).collect())) == want
+    assert held == 0 or not [c for c in names if "author" in c]
+    by_name = {(r.author, r.period): r.leave_probability for r in S.author_stance(docs, model, prior, min_total=1).collect()}
+    assert by_name["a", 1] < by_name[None, 1] == by_name["b", None] == 0.5 < by_name["b", 1]

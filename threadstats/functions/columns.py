@@ -61,7 +61,8 @@ def strip_type_prefix(identifier: Column) -> Column:
 
 def strip_quotes(content: Column) -> Column:
     """Delete quoted rests of lines, then all line breaks (without a blank)."""
-    return F.regexp_replace(F.regexp_replace(content, "&gt;.*\n", ""), "\n", "")
+    bare = F.when(content.contains("&gt;"), F.regexp_replace(content, "&gt;.*\n", "")).otherwise(content)
+    return F.replace(bare, F.lit("\n"), F.lit(""))
 
 
 def entry_id(comment_id: Column, submission_id: Column) -> Column:

@@ -6,17 +6,24 @@ class 0 is "remain" and class 1 "leave".
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadstats.functions import columns as C
-from threadstats.functions.text import is_model_token, model_tokens
-from threadstats.operators.terms import STEM_MAP_BROADCAST_ROWS, model_counts, model_vocabulary
+from threadstats.functions.cutting import different, letters, model_words
+from threadstats.functions.text import is_model_token, model_text
+from threadstats.operators.terms import STEM_MAP_BROADCAST_ROWS, group_counts, model_vocabulary, through
 from threadstats.storage import mark_complete, small_side, written
 
 REMAIN, LEAVE = 0, 1
+#: Words that every task may hold to score texts where they are read, and batches told apart by a bit each.
+MAX_HELD_WORDS, MAX_HELD_BATCHES = 8_000_000, 63
 
 
 def train(
@@ -30,7 +37,8 @@ def train(
 
     ``prior`` is "uniform" or "docfreq" (share of the documents).
     """
-    counts = written(model_counts(docs, [label], content, stem), "class-terms")
+    words = written(_words(docs, [label], content).withColumnRenamed("word", "term"), "class-words")
+    counts = through(words, model_vocabulary(words.filter(is_model_token(F.col("term"))), stem))
     sums = counts.groupBy("term").agg(
         F.sum(F.when(F.col(label) == REMAIN, F.col("n")).otherwise(0)).alias("remain"),
         F.sum(F.when(F.col(label) == LEAVE, F.col("n")).otherwise(0)).alias("leave"),
@@ -83,8 +91,7 @@ def score(
     """
     keys, batch = list(keys), list(batch)
     # The texts are read twice, for the totals and for the sums, so that their words are never written.
-    tokens = docs.select(*keys, F.explode(model_tokens(F.col(content))).alias("word"))
-    totals = written(tokens.groupBy(*batch, "word").agg(F.count(F.lit(1)).alias("n")), "batch-words")
+    totals = written(_words(docs, batch, content), "batch-words")
     # Everything about words is decided per batch and word.
     words = totals.filter(is_model_token(F.col("word")))
     vocabulary = model_vocabulary(words.withColumnRenamed("word", "term"), stem).join(model, "term").select(
@@ -95,11 +102,9 @@ def score(
         frequent = known.groupBy(*batch, "term").agg(F.sum("n").alias("total")).filter(F.col("total") >= min_total)
         known = known.join(small_side(frequent.drop("total"), "frequent-terms"), [*batch, "term"], "left_semi")
     kept = written(known.select(*batch, "word", "odds"), "scoring-words")
-    if kept.count() <= STEM_MAP_BROADCAST_ROWS:
-        counts, kept = tokens.withColumn("n", F.lit(1)), F.broadcast(kept)
-    else:  # both sides are moved, so words are counted first
-        counts = written(tokens.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    odds = counts.join(kept, [*batch, "word"]).groupBy(*keys).agg(F.sum(F.col("n") * F.col("odds")).alias("log_odds"))
+    odds = _summed_odds(docs, kept, keys, batch, content).groupBy(*keys).agg(F.sum("odds").alias("log_odds"))
+    for key in keys:  # a document without a full name gets the prior
+        odds = odds.withColumn("log_odds", F.when(F.col(key).isNotNull(), F.col("log_odds")))
 
     def prior_of(code: int):
         return F.coalesce(prior.filter(F.col("class") == code).select("logp").scalar(), F.lit(0.0))
@@ -107,9 +112,62 @@ def score(
     total = F.coalesce("log_odds", F.lit(0.0)) + (prior_of(REMAIN) - prior_of(LEAVE))
     # exp stays finite: beyond 700 the probability is 0 or 1 to the last digit.
     bounded = F.greatest(F.least(total, F.lit(700.0)), F.lit(-700.0))
-    return docs.select(*keys).distinct().join(odds, keys, "left").select(
-        *keys, (F.lit(1.0) / (F.exp(bounded) + 1)).alias("leave_probability")
-    )
+    return odds.select(*keys, (F.lit(1.0) / (F.exp(bounded) + 1)).alias("leave_probability"))
+
+
+def _words(docs: DataFrame, keys: Sequence[str], content: str) -> DataFrame:
+    """(keys..., word, n): how often the model's words, not yet stemmed, occur in a few large groups of texts."""
+    return group_counts(docs, keys, model_text(F.col(content)), partial(model_words, letter=letters()))
+
+
+def _summed_odds(docs: DataFrame, kept: DataFrame, keys: Sequence[str], batch: Sequence[str], content: str) -> DataFrame:
+    """(keys..., odds): for every text the summed odds of the words ``kept`` (batch..., word, odds) in its batch.
+
+    Tasks hold the kept words with one bit per batch and add up where a text is read.  If the words or
+    batches are too many for that, words of texts are counted and joined.
+    """
+    batches = kept.select(*batch).distinct().limit(MAX_HELD_BATCHES + 1).collect() if batch else [()]
+    if len(batches) <= MAX_HELD_BATCHES:
+        numbers = docs.sparkSession.createDataFrame(
+            [(*b, i, 1 << i) for i, b in enumerate(batches)],
+            ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in batch), "__batch int, __bit bigint"]))
+        numbers = F.broadcast(numbers)
+        placed = kept.join(numbers, list(batch)) if batch else kept.crossJoin(numbers)
+        held = written(placed.groupBy("word").agg(F.first("odds").alias("odds"), F.bit_or("__bit").alias("batches")), "held-words")
+        if held.count() <= MAX_HELD_WORDS:
+            rows = docs.join(numbers, list(batch), "left") if batch else docs.crossJoin(numbers)
+            return _odds_by_row(rows, held.toArrow(), keys, content)
+    counts = group_counts(docs, [*dict.fromkeys([*keys, *batch])], model_text(F.col(content)), partial(model_words, letter=letters()))
+    counts = written(counts, "word-counts")
+    sums = counts.join(kept, [*batch, "word"]).groupBy(*keys).agg(F.sum(F.col("n") * F.col("odds")).alias("odds"))
+    return docs.select(*keys).distinct().withColumn("odds", F.lit(None).cast("double")).unionByName(sums)
+
+
+def _odds_by_row(rows: DataFrame, held: pa.Table, keys: Sequence[str], content: str) -> DataFrame:
+    held = held.combine_chunks()
+    shared, letter = rows.sparkSession.sparkContext.broadcast(held), letters()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.column("word")
+        odds, inside = (shared.value.column(c).to_numpy() for c in ("odds", "batches"))
+        for batch in batches:
+            tokens, n = model_words(batch.column("__text"), letter)
+            names, code = different(tokens)
+            at = pc.index_in(words, value_set=names)  # the few are indexed, the many looked up
+            found = np.flatnonzero(at.is_valid().to_numpy())
+            place = np.full(len(names), -1)
+            place[at.drop_null().to_numpy()] = found
+            place, own = place[code], np.repeat(np.arange(batch.num_rows), n)
+            number = batch.column("__batch").fill_null(-1).to_numpy()[own]
+            known = (place >= 0) & (number >= 0)
+            place, own, number = place[known], own[known], number[known]
+            counts = (inside[place] >> number) & 1 == 1
+            sums = np.bincount(own[counts], odds[place[counts]], batch.num_rows).astype(np.float64)  # integers if none counts
+            yield pa.record_batch([*(batch.column(k) for k in range(len(keys))), pa.array(sums)], [*keys, "odds"])
+
+    rows = rows.select(*keys, "__batch", model_text(F.col(content)).alias("__text"))
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.mapInArrow(summed, f"{kinds}odds double")
 
 
 def with_stance(scored: DataFrame) -> DataFrame:
