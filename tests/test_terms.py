@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadstats.functions import cutting as K
 from threadstats.functions import text as X
+from threadstats.operators import descriptors as D
 from threadstats.operators import stance as S
 from threadstats.operators import terms as W
 from threadstats.sources import dumps as I
@@ -110,3 +111,19 @@ def test_many_known_words_move_no_words_of_documents(spark, monkeypatch, held):
     assert held == 0 or not [c for c in names if "author" in c]
     by_name = {(r.author, r.period): r.leave_probability for r in S.author_stance(docs, model, prior, min_total=1).collect()}
     assert by_name["a", 1] < by_name[None, 1] == by_name["b", None] == 0.5 < by_name["b", 1]
+
+
+@pytest.mark.parametrize("held,columns", [(0, 250), (8_000_000, 250), (8_000_000, 1)])
+def test_slots_are_counted_without_rows_of_words(spark, monkeypatch, held, columns):
+    monkeypatch.setattr(D, "MAX_HELD_WORDS", held)
+    monkeypatch.setattr(D, "F0_COLUMN_WORDS", columns)
+    entries = spark.createDataFrame(
+        [("a", 1, "Ships sail, the SHIP sailed will"), ("a", 1, "cats ab"), (None, 1, "ship"), ("b", None, "sail"), ("c", 2, None), ("d", 2, "will 12 the")],
+        "author string, period int, content string")
+    slots = spark.createDataFrame([(1, "ship"), (2, "sail")], "rank int, term string")
+    names, kept = [], D.written
+    monkeypatch.setattr(D, "written", lambda df, name: names.append(df.columns) or kept(df, name))
+    got = {(r.author, r.period): (r["0"], r["1"], r["2"]) for r in D._slot_counts(entries, slots, [0, 1, 2]).collect()}
+    assert got == {("a", 1): (1, 2, 2), (None, 1): (0, 1, 0), ("b", None): (0, 0, 1), ("c", 2): (0, 0, 0), ("d", 2): (0, 0, 0)}
+    if held and columns > 1:
+        assert names and not [c for c in names if "author" in c]
